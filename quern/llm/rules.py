@@ -25,63 +25,77 @@ WORDS_APART = r"[ \\t-\\r]+"
 
 def _line_ok() -> str:
     """SQL over ``l``, a line: true if it stays. An empty line stays."""
+    words = "(length(l) - length(replace(l, ' ', '')) + 1)"
+    phrases = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE.split("|"))
     return rf"""
         length(l) = 0 OR NOT (
             -- symbols: more than three for ten words
-            10 * length(regexp_replace(l, '[^#*$%&|<>]+', '')) > 3 * (length(regexp_replace(trim(l), '[^ \\t]+', '')) + 1)
+            10 * length(regexp_replace(l, '[^#*$%&|<>]+', '')) > 3 * {words}
             -- punctuation: every other word is shouted
-            OR 2 * (length(l) - length(replace(l, '!!', '!'))) > length(regexp_replace(trim(l), '[^ \\t]+', '')) + 1
+            OR 2 * (length(l) - length(replace(l, '!!', '!'))) > {words}
             -- navigation: a short line of menu words, or a row of links
-            OR (length(l) < 80 AND lower(l) RLIKE '^[ \\t]*(({NAVIGATION})[ \\t|>/,-]*)+$')
-            OR (length(l) - length(replace(l, ' | ', '  '))) >= 4
+            OR (length(l) < 80 AND lower(l) RLIKE '^[ \\t]*(?:(?:{NAVIGATION})(?:[ \\t|>/,-]+|$))+$')
+            OR length(l) - length(replace(l, ' | ', '  ')) >= 4
             -- boilerplate
-            OR lower(l) RLIKE '{BOILERPLATE}'
+            OR {phrases}
         )"""
 
 
+def _suspect() -> str:
+    """SQL over a text ``_t``, in lower case ``_lo``: whether any line can fail; most texts are settled here without a look at their lines."""
+    phrases = " OR ".join(f"contains(_lo, '{p}')" for p in BOILERPLATE.split("|"))
+    return rf"_symbols > 0 OR contains(_t, '!!') OR {phrases} OR _lo RLIKE '(?m)^[ \\t]*(?:{NAVIGATION})\\b'"
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` in ``_row``, with the counts, ``base_failed``, ``kept`` and ``cleaned`` (text of the kept lines)."""
     t = "_t"
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias(t))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(t))
     df = df.selectExpr(
         "_row",
         t,
         rf"CASE WHEN trim(BOTH ' \t\n\u000b\f\r' FROM {t}) = '' THEN array() ELSE split(trim(BOTH ' \t\n\u000b\f\r' FROM {t}), '{WORDS_APART}') END AS _w",
         rf"split({t}, '\n') AS _l",
     )
-    eight = ", ".join(f"get(_w, i + {k})" for k in range(8))  # slice() would copy the whole array for each window
     df = df.selectExpr(
         "_row",
         t,
+        "_l",
         "size(_w) AS _n",
         rf"length(regexp_replace({t}, '{WORDS_APART}', '')) AS _chars",
         rf"length(regexp_replace({t}, '[^#*$%&|<>]+', '')) AS _symbols",
-        r"filter(_l, l -> l RLIKE '[^ \\t-\\r]') AS _wl",
-        f"filter(_l, l -> {_line_ok()}) AS _kl",
-        f"CASE WHEN size(_w) < 9 THEN array() ELSE transform(sequence(0, size(_w) - 8), i -> xxhash64({eight})) END AS _h",
+        f"lower({t}) AS _lo",
+        "transform(_w, w -> xxhash64(w)) AS _h1",
     )
+    # hashes of windows of 2, 4 and 8 words, each from two of half the length
+    for k in (1, 2, 4):
+        kept = [c for c in df.columns if not c.startswith("_h")]
+        df = df.selectExpr(*kept, f"CASE WHEN _n < 9 THEN array() ELSE zip_with(slice(_h{k}, 1, size(_h{k}) - {k}), slice(_h{k}, {k + 1}, size(_h{k})), (x, y) -> xxhash64(x, y)) END AS _h{2 * k}")
     df = df.selectExpr(
         "_row",
+        t,
         "_n",
         "_chars",
         "_symbols",
-        "size(_wl) - size(array_distinct(_wl)) AS _dup",
-        "array_join(_kl, '\n') AS cleaned",
+        f"CASE WHEN {_suspect()} THEN array_join(filter(_l, l -> {_line_ok()}), '\n') ELSE {t} END AS cleaned",
+        # equal lines need a look only where there are any
+        r"""CASE WHEN size(array_distinct(_l)) = size(_l) THEN 0 ELSE
+            size(filter(_l, l -> l RLIKE '[^ \\t-\\r]')) - size(array_distinct(filter(_l, l -> l RLIKE '[^ \\t-\\r]'))) END AS _dup""",
         # starts of windows that occur twice or more; sorting only where there are any
-        """CASE WHEN size(array_distinct(_h)) = size(_h) THEN array()
-           ELSE array_sort(transform(_h, (x, i) -> struct(x AS x, i AS i)), (a, b) -> CASE WHEN a.x < b.x THEN -1 WHEN a.x > b.x THEN 1 ELSE a.i - b.i END) END AS _s""",
+        """CASE WHEN size(array_distinct(_h8)) = size(_h8) THEN array()
+           ELSE sort_array(transform(_h8, (x, i) -> struct(x AS x, i AS i))) END AS _s""",
     )
     df = df.selectExpr(
         "*",
         """CASE WHEN size(_s) = 0 THEN array() ELSE
-           array_sort(transform(filter(_s, (p, j) -> (j > 0 AND get(_s, j - 1).x = p.x) OR (j < size(_s) - 1 AND get(_s, j + 1).x = p.x)), p -> p.i)) END AS _d""",
+           sort_array(transform(filter(_s, (p, j) -> (j > 0 AND get(_s, j - 1).x = p.x) OR (j < size(_s) - 1 AND get(_s, j + 1).x = p.x)), p -> p.i)) END AS _d""",
     )
     # a repeated window covers 8 words, less where the next one begins sooner
     df = df.selectExpr(
         "*",
         """CASE WHEN size(_d) = 0 THEN 0L ELSE
            aggregate(transform(_d, (s, j) -> least(8, coalesce(get(_d, j + 1), s + 8) - s)), 0L, (a, v) -> a + v) END AS _rep""",
-        rf"length(regexp_replace(cleaned, '{WORDS_APART}', '')) AS _left",
+        rf"CASE WHEN cleaned = {t} THEN _chars ELSE length(regexp_replace(cleaned, '{WORDS_APART}', '')) END AS _left",
     )
     return df.selectExpr(
         "_row",
