@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, classify, decontaminate, licenses, rules, tokens
+from quern.llm import bpe, classify, decontaminate, idfile, licenses, rules, tokens
 from quern.tables import table
 
 
@@ -16,6 +16,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = idfile.scratch(spark)
+    idfile.write(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), out)
+    return idfile.read(spark, out)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
