@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quern.llm import exchange
 from quern.llm.exchange import Chunk, Numbering, expand, pack_ints, unpack_ints, unpack_words
 from quern.llm.tokens import PART
+from quern.llm.words import utf8
 from quern.session import ship
 
 KEPT_PARTS = 200_000
@@ -49,7 +50,7 @@ def _splitter(pattern: str) -> tuple:
     return regex.compile(pattern), {}
 
 
-def pre_tokens(texts: list[str], pattern: str) -> tuple[list[np.ndarray], list[str]]:
+def pre_tokens(texts: list[str], pattern: str) -> tuple[list[np.ndarray], list[bytes]]:
     """Numbers of the pre-tokens of each text in order, and the pre-tokens by number.
 
     A text is first cut where white space follows another character. No match of the pattern spans
@@ -69,10 +70,10 @@ def pre_tokens(texts: list[str], pattern: str) -> tuple[list[np.ndarray], list[s
         flat += map(words.__getitem__, found)
         lengths[n] = len(found)
     flat = np.array(flat, np.int64)
-    return [expand(flat, lengths, s) for s in seqs], list(words)
+    return [expand(flat, lengths, s) for s in seqs], [utf8(w) for w in words]
 
 
-def _encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+def _encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Number of ids of each word, and all ids."""
     merges = _codec(path)[0]
     ids = [merges._encode_single_piece(w) for w in words]

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.words import BY_ALNUM, lower_ascii, shingle_hashes, word_hashes
+from quern.llm.tokens import balanced
+from quern.llm.words import by_alnum, hash_words, shingle_hashes
 from quern.session import ship
 
 WINDOW = 10
@@ -45,61 +46,83 @@ def winnow(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
 
 
 class Benchmark:
-    """Items as word hashes, and their fingerprints."""
+    """Items as words, and their fingerprints."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.words: list[list[str]] = []
+        self.words: list[list[bytes]] = []
         self.ids: list[int] = []
         self.by_print: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
-            words = BY_ALNUM.findall(lower_ascii(text))
+            words = by_alnum(text)
             if not words:
                 continue
             k = len(self.words)
             self.words.append(words)
             self.ids.append(item_id)
-            h = word_hashes(text, BY_ALNUM)
+            h = hash_words(words)
             if len(words) < WINDOW:
                 self.short[len(words)][int(shingle_hashes(h, len(words))[0])].append(k)
             else:
                 grams = shingle_hashes(h, GRAM)
                 for at in winnow(grams).tolist():
                     self.by_print[int(grams[at])].append((k, at))
-        self.prints = np.array(sorted(self.by_print), np.uint64)
-        self.short_prints = {n: np.array(sorted(x), np.uint64) for n, x in self.short.items()}
-
-    def hits(self, text: str) -> tuple[int, list[tuple[int, int]], set[int]]:
-        """Number of words, (begin, end) of each window found, items with a window found."""
-        h = word_hashes(text, BY_ALNUM)
-        spans: set[tuple[int, int]] = set()
-        items: set[int] = set()
-        words: list[str] | None = None
+        self.known = _Sieve(self.by_print)
+        self.known_short = {n: _Sieve(x) for n, x in self.short.items()}
+
+    def hits(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
+        """For each text: number of words, spans of words in windows found, items with a window found.
+
+        The texts are joined for the arithmetic. That adds fingerprints across their borders, which the
+        comparison of words drops, and takes none away.
+        """
+        words = [by_alnum(t) for t in texts]
+        begin = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        h = hash_words([w for own in words for w in own])
+        spans: list[set[tuple[int, int]]] = [set() for _ in texts]
+        items: list[set[int]] = [set() for _ in texts]
+
+        def places(at: np.ndarray):
+            own = np.searchsorted(begin, at, "right") - 1
+            return zip(own.tolist(), (at - begin[own]).tolist(), at.tolist(), strict=True)
+
         grams = shingle_hashes(h, GRAM)
-        places = winnow(grams)
-        for at in places[np.isin(grams[places], self.prints)].tolist():
-            words = words or BY_ALNUM.findall(lower_ascii(text))
-            for k, off in self.by_print[int(grams[at])]:
+        prints = winnow(grams)
+        for d, at, g in places(prints[self.known.may(grams[prints])]):
+            own = words[d]
+            for k, off in self.by_print.get(int(grams[g]), ()):
                 item = self.words[k]
                 # the run of equal words around the fingerprint, no farther than a window reaches
                 left = 0
-                while left < SPAN - 1 and at > left and off > left and words[at - left - 1] == item[off - left - 1]:
+                while left < SPAN - 1 and at > left and off > left and own[at - left - 1] == item[off - left - 1]:
                     left += 1
-                right, most = 0, min(len(words) - at, len(item) - off, WINDOW)
-                while right < most and words[at + right] == item[off + right]:
+                right, most = 0, min(len(own) - at, len(item) - off, WINDOW)
+                while right < most and own[at + right] == item[off + right]:
                     right += 1
                 if right >= GRAM and left + right >= WINDOW:
-                    spans.add((at - left, at + right))
-                    items.add(self.ids[k])
-        for n, prints in self.short_prints.items():
+                    spans[d].add((at - left, at + right))
+                    items[d].add(self.ids[k])
+        for n, sieve in self.known_short.items():
             grams = shingle_hashes(h, n)
-            for at in np.flatnonzero(np.isin(grams, prints)).tolist():
-                words = words or BY_ALNUM.findall(lower_ascii(text))
-                for k in self.short[n][int(grams[at])]:
-                    if words[at : at + n] == self.words[k]:
-                        spans.add((at, at + n))
-                        items.add(self.ids[k])
-        return len(h), merge(spans), items
+            for d, at, g in places(np.flatnonzero(sieve.may(grams))):
+                for k in self.short[n].get(int(grams[g]), ()):
+                    if words[d][at : at + n] == self.words[k]:
+                        spans[d].add((at, at + n))
+                        items[d].add(self.ids[k])
+        return [(len(w), merge(s), i) for w, s, i in zip(words, spans, items, strict=True)]
+
+
+class _Sieve:
+    """A bitmap of hashes by their top bits: false says that a hash is not there."""
+
+    BITS = 22
+
+    def __init__(self, hashes):
+        self.map = np.zeros(1 << self.BITS, bool)
+        self.map[np.array(list(hashes), np.uint64) >> np.uint64(64 - self.BITS)] = True
+
+    def may(self, h: np.ndarray) -> np.ndarray:
+        return self.map[h >> np.uint64(64 - self.BITS)]
 
 
 def merge(spans) -> list[tuple[int, int]]:
@@ -122,7 +145,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         if not state:
             state.append(Benchmark(shared.value))
         for b in batches:
-            found = [state[0].hits(t) for t in b.column(1).to_pylist()]
+            found = [x for run in balanced(b.column(1).to_pylist(), 4 << 20) for x in state[0].hits(run)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -141,7 +164,7 @@ def slices(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> It
     """The items that have words, in runs of about ``limit`` words, read one partition at a time."""
     run, size = [], 0
     for row in benchmark.select(F.col(f"`{item_col}`"), F.col(f"`{text_col}`")).filter(F.col(f"`{text_col}`").isNotNull()).toLocalIterator():
-        n = len(BY_ALNUM.findall(row[1]))
+        n = len(by_alnum(row[1]))
         if run and size + n > limit:
             yield run
             run, size = [], 0
@@ -219,6 +242,7 @@ def _without(docs: DataFrame, items: list[tuple[int, str]], text_col: str) -> Da
         if not state:
             state.append(Benchmark(shared.value))
         for b in batches:
-            yield b.filter(pa.array([not state[0].hits(t or "")[1] for t in b.column(at).to_pylist()], pa.bool_()))
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([not x[1] for run in balanced(texts, 4 << 20) for x in state[0].hits(run)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ BUCKET_BYTES = 8 << 20
 class Numbering(dict):
     """Words to numbers in order of first sight."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word) -> int:
         n = self[word] = len(self)
         return n
 
@@ -46,17 +46,16 @@ def unpack_ints(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def pack_words(words: list[str]) -> bytes:
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    return pickle.dumps((pack_ints(np.fromiter(map(len, raw), np.int64, len(raw))), zlib.compress(b"".join(raw), 1)))
+def pack_words(words: list[bytes]) -> bytes:
+    return pickle.dumps((pack_ints(np.fromiter(map(len, words), np.int64, len(words))), zlib.compress(b"".join(words), 1)))
 
 
-def unpack_words(b: bytes) -> list[str]:
+def unpack_words(b: bytes) -> list[bytes]:
     lengths, raw = pickle.loads(b)
     text = zlib.decompress(raw)
     ends = np.cumsum(unpack_ints(lengths)).tolist()
     starts = [0, *ends[:-1]] if ends else []
-    return [text[a:e].decode("utf-8", "surrogatepass") for a, e in zip(starts, ends, strict=True)]
+    return [text[a:e] for a, e in zip(starts, ends, strict=True)]
 
 
 def expand(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -69,8 +68,8 @@ def expand(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarr
     return flat[shift + np.arange(total)]
 
 
-def bucket_of(words: list[str], n_buckets: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % n_buckets for w in words), np.int64, len(words))
+def bucket_of(words: list[bytes], n_buckets: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % n_buckets
 
 
 def n_buckets(docs: DataFrame, text_col: str) -> int:
@@ -100,7 +99,7 @@ def runs(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterato
 class Chunk:
     """ids, number of words of each text, all word numbers in order, and the words, most frequent first."""
 
-    def __init__(self, ids: list, texts: list[str], number: Callable[[list[str]], tuple[list[np.ndarray], list[str]]]):
+    def __init__(self, ids: list, texts: list[str], number: Callable[[list[str]], tuple[list[np.ndarray], list[bytes]]]):
         digest = xxhash.xxh3_128()
         for i, t in zip(ids, texts, strict=True):
             digest.update(repr(i) + "\0")

@@ -1,42 +1,49 @@
-"""Words of texts as arrays of 64-bit hashes, for operators that work in numpy."""
+"""Words of texts as arrays of 64-bit hashes, for operators that work in numpy.
 
-from __future__ import annotations
+Texts are handled as UTF-8 bytes: lower-casing bytes changes A-Z alone, and all bytes of other than
+ASCII characters are above 0x7F, so they stay within words.
+"""
 
-import re
-import string
+from __future__ import annotations
 
 import numpy as np
 import xxhash
 
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-BY_SPACE = re.compile("[^\x20\x09-\x0d]+")
-BY_ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 KEPT_WORDS = 400_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
+# A-Z to a-z; digits, letters and bytes above 0x7F as they are; all else to a space
+_ALNUM = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b > 0x7F or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
 class Hasher(dict):
     """Word to 64-bit hash; a bounded table of each worker."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
 hashes = Hasher()
 
 
-def lower_ascii(text: str) -> str:
-    """A-Z in lower case, all else as it is."""
-    return text.lower() if text.isascii() else text.translate(LOWER)
+def utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def by_space(text: str) -> list[bytes]:
+    """Runs of characters other than x20 and x09 to x0D, A-Z lower-cased."""
+    return utf8(text).lower().split()
+
+
+def by_alnum(text: str) -> list[bytes]:
+    """Runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased."""
+    return utf8(text).translate(_ALNUM).split()
 
 
-def word_hashes(text: str, pattern: re.Pattern = BY_SPACE) -> np.ndarray:
-    """Hashes of the words of ``text``, A-Z lower-cased, in order."""
-    words = pattern.findall(lower_ascii(text))
+def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
@@ -47,7 +54,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash for each run of ``k`` words; none where there are fewer."""
+    """A hash for each run of ``k`` word hashes; none where there are fewer."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
