@@ -159,10 +159,6 @@ def _with_type(f, kind: str):
 
     def g(left: pa.Table, right: pa.Table) -> pa.Table:
         t = f(left, right)
-        return t.set_column(0, "doc_id", t.column(0).cast(_plain(kind)))
+        return t.set_column(0, "doc_id", t.column(0).cast(exchange.plain_type(kind)))
 
     return g
-
-
-def _plain(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string(), "double": pa.float64()}[kind]

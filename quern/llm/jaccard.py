@@ -130,17 +130,13 @@ def sets(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "t
                 alone = int((count == 1).sum())
                 items = s[np.argsort(count, kind="stable")].tobytes() if n and n - alone >= least(n) else None
                 out.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), alone, items))
-        return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate((_plain(kind), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["doc_id", "n", "print", "own", "items"])
+        return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate((exchange.plain_type(kind), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["doc_id", "n", "print", "own", "items"])
 
     answers = rows.mapInArrow(ask, "bucket long, chunk binary, keys binary").groupBy("bucket").applyInArrow(answer, "bucket long, chunk binary, counts binary")
     texts = rows.mapInArrow(keep, "chunk binary, texts binary")
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(order, f"doc_id {kind}, n long, print binary, own long, items binary")
 
 
-def _plain(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string(), "double": pa.float64()}[kind]
-
-
 def _entries(nodes: DataFrame, small: int | None) -> DataFrame:
     """``key, node, n, own, at`` of the lists: single first shingles, or for sets up to ``small`` their pairs too.
 
