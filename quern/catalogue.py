@@ -7,19 +7,476 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.tables import table
+from quern.functions import scalar
+from quern.operators import countmin, kmeans, relational, special, transform, wordcount
+from quern.plans import predicates
+from quern.plans.job import Job, run_generic
+from quern.streaming import continuous
+from quern.tables import get, latest, table
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]")).alias("word"))
-    return words.filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"word_count": word_count}
+def _query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _field(name: str) -> dict:
+    return {"type": "FIELD", "body": {"column": name}}
+
+
+def _const(value, kind: str | None = None) -> dict:
+    return {"type": "CONST", "body": {"datum": {"type": kind, "val": value} if kind else value}}
+
+
+def _two(kind: str, a: dict, b: dict) -> dict:
+    return {"type": kind, "body": {"leftExpr": a, "rightExpr": b}}
+
+
+def _filtered(name: str, tab: str, tree: dict, cols: list[str], where: str) -> None:
+    """A query that filters a table by a predicate tree and keeps some columns."""
+
+    @_query(name, f"SELECT {', '.join(cols)} FROM {tab} WHERE {where}")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return predicates.filter_rows(table(spark, sf_dir, tab), tree).select(*cols)
+
+
+def _computed(name: str, tab: str, columns: dict[str, dict], keys: list[str], sql: str) -> None:
+    """A query of columns made from trees."""
+
+    @_query(name, sql)
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, tab).select(*keys, *[predicates.to_column(t).alias(c) for c, t in columns.items()])
+
+
+# --- words ---------------------------------------------------------------------------------------
+
+_WORDS_SQL = r"(SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[ \n]')) AS word FROM documents)"
+_COUNT_SQL = f"SELECT word, count(*) AS n FROM {_WORDS_SQL} WHERE word <> '' GROUP BY word"
+
+
+@_query("word_count", _COUNT_SQL)
+def word_count(spark, sf_dir):
+    return wordcount.word_count(table(spark, sf_dir, "documents"), "text")
+
+
+@_query("word_count_two_level", f"SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT doc_id % 4 AS site, word, count(*) AS c FROM {_WORDS_SQL} WHERE word <> '' GROUP BY ALL) GROUP BY word")
+def word_count_two_level(spark, sf_dir):
+    return wordcount.word_count_two_level(table(spark, sf_dir, "documents"), F.col("doc_id") % 4, "text")
+
+
+@_query(
+    "word_count_regex_lower",
+    r"""SELECT word, count(*) AS n FROM (SELECT trim(unnest(regexp_split_to_array(lower(text), '[!"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~\s]+'))) AS word FROM documents)
+        WHERE word <> '' GROUP BY word""",
+)
+def word_count_regex_lower(spark, sf_dir):
+    return wordcount.word_count_lower(table(spark, sf_dir, "documents"), "text")
+
+
+@_query("word_topk", f"SELECT word, n FROM ({_COUNT_SQL}) ORDER BY n DESC, word LIMIT 10")
+def word_topk(spark, sf_dir):
+    return wordcount.top_k(word_count(spark, sf_dir), 10)
+
+
+@_query("doc_histogram", f"SELECT doc_id, word, count(*) AS n FROM {_WORDS_SQL} WHERE word <> '' GROUP BY ALL")
+def doc_histogram(spark, sf_dir):
+    return wordcount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# --- count-min -----------------------------------------------------------------------------------
+
+_W, _D = 7, 4
+
+
+def _cells_sql(w: int, d: int) -> str:
+    m48, m24, mul = (1 << 48) - 1, (1 << 24) - 1, 25214903917
+    states = ["SELECT word, c, xor(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END, 25214903917::BIGINT) & %d AS s FROM hashed" % m48]
+    parts = []
+    for i in range(d):
+        src = f"s{i - 1}" if i else "seeded"
+        nxt = f"((((((s >> 24) * {mul}) & {m24}) << 24) + (s & {m24}) * {mul} + 11) & {m48})"
+        parts.append(f"s{i} AS (SELECT word, c, {nxt} AS s FROM {src})")
+    draw = f"(({w} * (s >> 17)) >> 31)" if w & (w - 1) == 0 else f"((s >> 17) % {w})"
+    union = " UNION ALL ".join(f"SELECT {i} AS row, CAST({draw} AS INT) AS col, c FROM s{i}" for i in range(d))
+    return f"""
+        WITH counted AS (SELECT word, count(*) AS c FROM {_WORDS_SQL} WHERE word <> '' GROUP BY word),
+        hashed AS (SELECT word, c, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(word, ''), lambda x: unicode(x)::BIGINT)), lambda a, x: (a * 31 + x) & 4294967295) AS h FROM counted),
+        seeded AS ({states[0]}), {", ".join(parts)}, drawn AS ({union}),
+        cells AS (SELECT row, col, CAST(sum(c) AS BIGINT) AS n FROM drawn GROUP BY ALL)"""
+
+
+@_query("count_min_cells", _cells_sql(_W, _D) + " SELECT row, col, n FROM cells")
+def count_min_cells(spark, sf_dir):
+    return countmin.cells(table(spark, sf_dir, "documents"), _W, _D, "text")
+
+
+@_query(
+    "count_min_rows",
+    _cells_sql(4, 4) + " SELECT r.row, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY i) AS counts FROM (SELECT DISTINCT row FROM cells) r CROSS JOIN range(4) t(i) LEFT JOIN cells ON cells.row = r.row AND cells.col = i GROUP BY r.row",
+)
+def count_min_rows(spark, sf_dir):
+    w, d = countmin.sizes()
+    return countmin.rows(countmin.cells(table(spark, sf_dir, "documents"), w, d, "text"), w)
+
+
+# --- k-means -------------------------------------------------------------------------------------
+
+_KMEANS_SQL = f"""
+    WITH v AS (SELECT doc_id, word, count(*) AS n FROM {_WORDS_SQL} WHERE word <> '' GROUP BY ALL),
+    ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS cluster FROM (SELECT DISTINCT doc_id FROM v) ORDER BY doc_id LIMIT 3),
+    c AS (SELECT cluster, word, n::DOUBLE AS value FROM v JOIN ids USING (doc_id)),
+    norm AS (SELECT cluster, sum(value * value) AS norm FROM c GROUP BY cluster),
+    sims AS (SELECT v.doc_id, c.cluster, sum(v.n * (c.value / sqrt(greatest(norm, 1)))) AS sim FROM v JOIN c USING (word) JOIN norm USING (cluster) GROUP BY ALL),
+    best AS (SELECT doc_id, max({{'s': round(sim, 9), 'c': -cluster}}) AS b FROM sims WHERE sim > 0 GROUP BY doc_id),
+    a AS (SELECT doc_id, CAST(coalesce(-b.c, 0) AS INT) AS cluster FROM (SELECT DISTINCT doc_id FROM v) LEFT JOIN best USING (doc_id))"""
+
+
+def _assigned(spark, sf_dir):
+    vectors = wordcount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return vectors, kmeans.assign(vectors, kmeans.seeds(vectors, 3))
+
+
+@_query("kmeans_assign", _KMEANS_SQL + " SELECT doc_id, cluster FROM a")
+def kmeans_assign(spark, sf_dir):
+    return _assigned(spark, sf_dir)[1].select("doc_id", "cluster")
+
+
+@_query(
+    "kmeans_update",
+    _KMEANS_SQL
+    + """, size AS (SELECT cluster, count(*) AS docs FROM a GROUP BY cluster),
+    new AS (SELECT cluster, word, sum(n) / max(docs) AS value FROM v JOIN a USING (doc_id) JOIN size USING (cluster) GROUP BY cluster, word)
+    SELECT size.cluster, docs, words, round(norm, 4) AS norm FROM size LEFT JOIN (SELECT cluster, count(*) AS words, sum(value * value) AS norm FROM new GROUP BY cluster) USING (cluster)""",
+)
+def kmeans_update(spark, sf_dir):
+    vectors, assigned = _assigned(spark, sf_dir)
+    return kmeans.summary(vectors, assigned).select("cluster", "docs", "words", F.round("norm", 4).alias("norm"))
+
+
+# --- predicates ----------------------------------------------------------------------------------
+
+_L = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+_O = ["o_orderkey", "o_totalprice", "o_orderpriority"]
+
+_filtered("filter_and_or", "lineitem", _two("AND", _two("GTH", _field("l_quantity"), _const(30, "INT8")), _two("OR", _two("EQUAL", _field("l_returnflag"), _const("A", "TEXT")), _two("LTH", _field("l_discount"), _const(0.03, "FLOAT8")))), _L, "l_quantity > 30 AND (l_returnflag = 'A' OR l_discount < 0.03)")
+_filtered("filter_not", "lineitem", {"type": "NOT", "body": {"expr": _two("EQUAL", _field("l_returnflag"), _const("N", "TEXT"))}}, _L, "NOT (l_returnflag = 'N')")
+_filtered("filter_cmp", "orders", _two("AND", _two("GEQ", _field("o_totalprice"), _const(1000)), _two("AND", _two("LEQ", _field("o_totalprice"), _const(200000)), _two("NOT_EQUAL", _field("o_orderstatus"), _const("F", "TEXT")))), _O, "o_totalprice >= 1000 AND o_totalprice <= 200000 AND o_orderstatus <> 'F'")
+_filtered("filter_like", "part", _two("LIKE", _field("p_type"), _const("%E%", "TEXT")), ["p_partkey", "p_type"], "p_type LIKE '%E%'")
+_filtered("filter_in", "orders", {"type": "IN", "body": {"leftExpr": _field("o_orderstatus"), "rightExpr": {"type": "ROW_CONSTANT", "body": {"values": ["F", "P"]}}}}, _O, "o_orderstatus IN ('F', 'P')")
+_filtered("filter_between", "orders", {"type": "BETWEEN", "body": {"expr": _field("o_totalprice"), "begin": _const(1000), "end": _const(100000)}}, _O, "o_totalprice BETWEEN 1000 AND 100000")
+
+
+@_query("filter_null", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+def filter_null(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    both = c.join(o, c.c_custkey == o.o_custkey, "left")
+    return predicates.filter_rows(both, {"type": "IS_NULL", "body": {"leftExpr": _field("o_orderkey")}}).select("c_custkey", "o_orderkey")
+
+
+_case = {"type": "CASE", "body": {"when": [{"condition": _two("LTH", _field("p_size"), _const(10)), "result": _const("small", "TEXT")}, {"condition": _two("LTH", _field("p_size"), _const(30)), "result": _const("middle", "TEXT")}], "else": _const("large", "TEXT")}}
+_computed("filter_case", "part", {"kind": _case}, ["p_partkey"], "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS kind FROM part")
+_computed("filter_cast", "part", {"whole": {"type": "CAST", "body": {"expr": _field("p_size"), "target": "TEXT"}}, "less": {"type": "SIGNED", "body": {"expr": _field("p_size")}}}, ["p_partkey"], "SELECT p_partkey, CAST(p_size AS VARCHAR) AS whole, -p_size AS less FROM part")
+_computed(
+    "filter_arith",
+    "lineitem",
+    {"net": _two("MULTIPLY", _field("l_extendedprice"), _two("MINUS", _const(1.0, "FLOAT8"), _field("l_discount"))), "sum": _two("PLUS", _field("l_orderkey"), _field("l_linenumber")), "half": _two("DIVIDE", _field("l_quantity"), _const(2.0, "FLOAT8")), "left": _two("MODULAR", _field("l_orderkey"), _const(7, "INT8"))},
+    ["l_orderkey", "l_linenumber"],
+    "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_orderkey + l_linenumber AS sum, l_quantity / 2 AS half, l_orderkey % 7 AS \"left\" FROM lineitem",
+)
+_computed(
+    "filter_bitwise",
+    "orders",
+    {"low": _two("BIT_AND", _field("o_orderkey"), _const(15, "INT8")), "up": _two("BIT_OR", _field("o_orderkey"), _const(1, "INT8")), "other": _two("BIT_XOR", _field("o_orderkey"), _const(255, "INT8"))},
+    ["o_orderkey"],
+    "SELECT o_orderkey, o_orderkey & 15 AS low, o_orderkey | 1 AS up, xor(o_orderkey, 255::BIGINT) AS other FROM orders",
+)
+
+
+@_query("filter_regex_concat", "SELECT c_custkey, c_name || '/' || c_mktsegment AS label FROM customer WHERE regexp_matches(c_name, '[13579]$') AND regexp_full_match(c_mktsegment, '[A-M].*')")
+def filter_regex_concat(spark, sf_dir):
+    tree = _two("AND", _two("REGEX", _field("c_name"), _const("[13579]$", "TEXT")), _two("SIMILAR_TO", _field("c_mktsegment"), _const("[A-M].*", "TEXT")))
+    label = _two("CONCATENATE", _two("CONCATENATE", _field("c_name"), _const("/", "TEXT")), _field("c_mktsegment"))
+    return predicates.filter_rows(table(spark, sf_dir, "customer"), tree).select("c_custkey", predicates.to_column(label).alias("label"))
+
+
+@_query("filter_having", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL HAVING sum(l_quantity) > 1000")
+def filter_having(spark, sf_dir):
+    agg = {"type": "AGG_FUNCTION", "body": {"name": "sum", "args": [_field("l_quantity")]}}
+    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), predicates.to_column(agg).alias("q"))
+    return predicates.filter_rows(g, _two("GTH", _field("q"), _const(1000))).select("l_returnflag", "l_linestatus", "n")
+
+
+_computed(
+    "filter_window",
+    "orders",
+    {"nth": {"type": "WINDOW_FUNCTION", "body": {"name": "row_number", "partitionBy": ["o_custkey"], "orderBy": [{"name": "o_totalprice", "desc": True}, {"name": "o_orderkey"}]}}},
+    ["o_orderkey", "o_custkey"],
+    "SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS nth FROM orders",
+)
+
+
+# --- projection ----------------------------------------------------------------------------------
+
+
+@_query("attr_equals", "SELECT * FROM customer WHERE CAST(c_nationkey AS VARCHAR) = '7'")
+def attr_equals(spark, sf_dir):
+    return relational.attribute_equals(table(spark, sf_dir, "customer"), "c_nationkey", "7")
+
+
+@_query("key_range", "SELECT * FROM customer WHERE c_custkey BETWEEN 10 AND 99")
+def key_range(spark, sf_dir):
+    return relational.key_range(table(spark, sf_dir, "customer"), "c_custkey", 10, 99)
+
+
+@_query("project_rename", "SELECT c_custkey AS id, c_name AS name FROM customer")
+def project_rename(spark, sf_dir):
+    return relational.project(table(spark, sf_dir, "customer"), {"c_custkey": "id", "c_name": "name"})
+
+
+@_query("project_alias_twice", "SELECT c_custkey AS id, c_name AS name, c_name AS label FROM customer")
+def project_alias_twice(spark, sf_dir):
+    return relational.project(table(spark, sf_dir, "customer"), {"c_custkey": "id", "c_name": ["name", "label"]})
+
+
+@_query("qualified_names", 'SELECT n_nationkey AS "nation.n_nationkey", n_name AS "nation.n_name" FROM nation')
+def qualified_names(spark, sf_dir):
+    return relational.qualify(relational.keep_only(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"]), "nation")
+
+
+@_query("remove_attributes", "SELECT p_partkey, p_name FROM part")
+def remove_attributes(spark, sf_dir):
+    return relational.remove(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size", "p_retailprice"])
+
+
+@_query("computed_substr", "SELECT p_partkey, substr(p_name, 1, 5) AS short FROM part")
+def computed_substr(spark, sf_dir):
+    return relational.computed(table(spark, sf_dir, "part").select("p_partkey", "p_name"), short=scalar.substr(F.col("p_name"), 1, 5)).drop("p_name")
+
+
+# --- joins ---------------------------------------------------------------------------------------
+
+
+@_query("join_equi", "SELECT o_orderkey, c_custkey, c_name FROM customer JOIN orders ON c_custkey = o_custkey")
+def join_equi(spark, sf_dir):
+    return relational.join(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), [("c_custkey", "o_custkey")]).select("o_orderkey", "c_custkey", "c_name")
+
+
+@_query("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, a.l_quantity, b.l_tax FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
+def join_multi_key(spark, sf_dir):
+    both = _two("AND", _two("EQUAL", _field("a.l_orderkey"), _field("b.k")), _two("EQUAL", _field("b.n"), _field("a.l_linenumber")))
+    l = table(spark, sf_dir, "lineitem")
+    right = l.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "l_tax")
+    left = l.select("l_orderkey", "l_linenumber", "l_quantity")
+    return relational.join(left, right, predicates.join_keys(both, "a", "b"), drop=("k", "n"))
+
+
+@_query("join_filter_limit", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice < 50000 ORDER BY o_orderkey LIMIT 10")
+def join_filter_limit(spark, sf_dir):
+    j = relational.join(table(spark, sf_dir, "orders").filter("o_totalprice < 50000"), table(spark, sf_dir, "customer"), [("o_custkey", "c_custkey")])
+    return j.orderBy("o_orderkey").limit(10).select("o_orderkey", "c_name", "o_totalprice")
+
+
+@_query("join_merge_drop", "SELECT n_name, r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def join_merge_drop(spark, sf_dir):
+    return relational.join(table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"), [("n_regionkey", "r_regionkey")], drop=("n_nationkey", "n_regionkey"))
+
+
+# --- aggregates ----------------------------------------------------------------------------------
+
+
+@_query("agg_sum", "SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS lines, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY l_returnflag")
+def agg_sum(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum("l_linenumber").alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@_query("agg_count", "SELECT o_orderstatus, count(*) AS n, count(o_totalprice) AS known FROM orders GROUP BY o_orderstatus")
+def agg_count(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("o_totalprice").alias("known"))
+
+
+@_query("agg_min_max", "SELECT o_custkey, min(o_totalprice) AS least, max(o_totalprice) AS most, min(o_orderpriority) AS first FROM orders GROUP BY o_custkey")
+def agg_min_max(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"), F.min("o_orderpriority").alias("first"))
+
+
+@_query("agg_avg", "SELECT l_returnflag, round(avg(l_quantity), 4) AS mean FROM lineitem GROUP BY l_returnflag")
+def agg_avg(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 4).alias("mean"))
+
+
+@_query("agg_text_concat", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
+def agg_text_concat(spark, sf_dir):
+    return relational.text_concat(table(spark, sf_dir, "nation"), "n_regionkey", "n_name", "n_nationkey", ",")
+
+
+@_query("agg_group_by", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY ALL")
+def agg_group_by(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@_query("agg_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def agg_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority").distinct()
+
+
+@_query("agg_run_stats", "SELECT count(l_quantity) AS n, round(avg(l_quantity), 4) AS mean, round(stddev(l_quantity), 4) AS deviation, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem")
+def agg_run_stats(spark, sf_dir):
+    s = relational.run_stats(table(spark, sf_dir, "lineitem"), "l_quantity")
+    return s.select("n", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), "least", "most")
+
+
+# --- order, limits, sets -------------------------------------------------------------------------
+
+
+@_query("sort_multi", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey")
+def sort_multi(spark, sf_dir):
+    return relational.sort(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", True))
+
+
+@_query("limit_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 17")
+def limit_n(spark, sf_dir):
+    return relational.first_n(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey"), 17)
+
+
+@_query("page_range", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+def page_range(spark, sf_dir):
+    return relational.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 40, 59, ("o_totalprice", False), ("o_orderkey", True))
+
+
+@_query("union_sites", "SELECT o_orderkey, o_custkey FROM orders")
+def union_sites(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return relational.union_sites(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 <> 0"))
+
+
+@_query("upsert_latest", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def upsert_latest(spark, sf_dir):
+    return latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts"), "user_id", "ts", "event_id").drop("ts")
+
+
+@_query("point_get", "SELECT c_name, c_acctbal FROM customer WHERE c_custkey = 42")
+def point_get(spark, sf_dir):
+    return get(table(spark, sf_dir, "customer"), "c_custkey", 42, ["c_name", "c_acctbal"])
+
+
+# --- functions -----------------------------------------------------------------------------------
+
+
+@_query(
+    "url_restore",
+    r"SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*', 0) || regexp_extract(url, '^[a-z]+://[^/]*(/.*)?$', 1) AS url FROM pages",
+)
+def url_restore(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", scalar.reverse_url(F.col("url")).alias("uri"))
+    return p.select("page_id", scalar.restore_url(F.col("uri")).alias("url"))
+
+
+@_query("ts_format", "SELECT event_id, strftime(ts, '%m/%d/%Y %H:%M:%S') AS at FROM events")
+def ts_format(spark, sf_dir):
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", scalar.millis_text(millis).alias("at"))
+
+
+@_query("transform_job", "SELECT CAST(user_id AS VARCHAR) AS out_key, strftime(ts, '%m/%d/%Y %H:%M:%S') AS seen_ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def transform_job(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("default.events:"), "user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("seen_ts"), "event_type", "event_id")
+    return transform.transform(e, "key", "event_id").select("out_key", "seen_ts", "event_type")
+
+
+@_query("json_field", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalar.json_field(F.col("props"), "$.k", "bigint").alias("k"))
+
+
+@_query("token_lookup", "SELECT c_custkey, c_name FROM customer WHERE sha256(c_name) = (SELECT max(sha256(c_name)) FROM customer WHERE c_custkey = 5)")
+def token_lookup(spark, sf_dir):
+    c = special.with_token(table(spark, sf_dir, "customer"), "c_name")
+    wanted = c.filter("c_custkey = 5").agg(F.max("token").alias("token"))
+    return c.join(F.broadcast(wanted), "token", "left_semi").select("c_custkey", "c_name")
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+@_query("stream_word_count", _COUNT_SQL)
+def stream_word_count(spark, sf_dir):
+    return continuous.finish(continuous.word_count(continuous.source(spark, f"{sf_dir}/documents.parquet"), "text"))
+
+
+@_query("stream_count_min", _cells_sql(4, 4) + " SELECT row, col, n FROM cells")
+def stream_count_min(spark, sf_dir):
+    return continuous.finish(continuous.count_min(continuous.source(spark, f"{sf_dir}/documents.parquet"), 4, 4, "text"))
+
+
+@_query("stream_kmeans", _KMEANS_SQL + " SELECT cluster, word, CAST(sum(n) AS BIGINT) AS total FROM v JOIN a USING (doc_id) GROUP BY cluster, word")
+def stream_kmeans(spark, sf_dir):
+    vectors = wordcount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return continuous.finish(continuous.k_means_sums(continuous.source(spark, f"{sf_dir}/documents.parquet"), kmeans.seeds(vectors, 3)))
+
+
+@_query("stream_time_window", "SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_time_window(spark, sf_dir):
+    w = continuous.finish(continuous.time_window(continuous.source(spark, f"{sf_dir}/events.parquet"), "ts", "1 hour", ["event_type"], value="value"))
+    return w.select(F.col("begin").cast("timestamp_ntz").alias("begin"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@_query("stream_latest", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND event_type <> 'error'")
+def stream_latest(spark, sf_dir):
+    feed = continuous.source(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", F.when(F.col("event_type") == "error", "REMOVED").otherwise("MODIFIED").alias("op"))
+    last = feed.groupBy(F.col("user_id").alias("k")).agg(F.max_by(F.struct("user_id", "event_id", "op"), F.col("event_id")).alias("r"))
+    return continuous.finish(last).select("r.*").filter("op <> 'REMOVED'").select("user_id", "event_id")
+
+
+@_query("stream_count_window")
+def stream_count_window(spark, sf_dir):
+    feed = continuous.source(spark, f"{sf_dir}/events.parquet").withColumn("seq", F.col("event_id"))
+    return continuous.finish(continuous.count_window(feed, "event_type", "user_id", "value", 10), "append")
+
+
+# --- jobs and graphs -----------------------------------------------------------------------------
+
+
+def _map_words(key: str, row: dict):
+    for word in (row["text"] or "").replace("\n", " ").split(" "):
+        if word:
+            yield word, 1
+
+
+def _add(key: str, values):
+    yield key, sum(values)
+
+
+@_query("generic_map_reduce", _COUNT_SQL)
+def generic_map_reduce(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 4).alias("site"))
+    job = Job("words", ["documents"], "out", mapper=_map_words, combiner=_add, local_reducer=_add, reducer=_add, key="doc_id", site="site")
+    return run_generic(docs, job).select(F.col("key").alias("word"), F.col("value").cast("bigint").alias("n"))
+
+
+@_query(
+    "link_bfs",
+    r"""WITH e AS (SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, 'href=["'']([^"''#]+)', 1)) AS dst FROM pages)
+        SELECT DISTINCT url AS node, 0 AS level FROM pages WHERE page_id < 5
+        UNION ALL SELECT DISTINCT dst, 1 FROM e WHERE src IN (SELECT url FROM pages WHERE page_id < 5) AND dst NOT IN (SELECT url FROM pages WHERE page_id < 5)""",
+)
+def link_bfs(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return special.reach(special.links(pages), pages.filter("page_id < 5").select(F.col("url").alias("node")), 2)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"word_count": r"""
-        SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]')) AS word FROM documents)
-        WHERE word <> '' GROUP BY word"""}
+    return dict(_SQL)

@@ -16,9 +16,11 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from enum import Enum
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,12 +109,24 @@ def map_stage(df: DataFrame, job: Job) -> DataFrame:
 
 
 def _reduce(pairs: DataFrame, reducer: Callable, by: list[str]) -> DataFrame:
-    def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = list(_emit(reducer(keys[-1], map(json.loads, frame["value"]))))
-        return pd.DataFrame([(*keys[:-1], k, v) for k, v in out], columns=[*by[:-1], "key", "value"])
+    """Run a reducer over each key. Rows of a key come sorted together and are streamed to it, so no group is held in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out: list[tuple] = []
+        for keys, group in groupby(rows, key=lambda r: r[:-1]):
+            out += ((*keys[:-1], k, v) for k, v in _emit(reducer(keys[-1], (json.loads(r[-1]) for r in group))))
+            if len(out) >= 10_000:
+                yield _rows(out)
+                out = []
+        yield _rows(out)
+
+    def _rows(out: list[tuple]) -> pa.RecordBatch:
+        names = [*by[:-1], "key", "value"]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.string()) for j in range(len(names))], names)
 
     schema = ", ".join(f"{c} string" for c in [*by[:-1], "key", "value"])
-    return pairs.groupBy(*by).applyInPandas(run, schema)
+    return pairs.select(*by, "value").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
 def run_generic(df: DataFrame, job: Job) -> DataFrame:

@@ -57,7 +57,7 @@ def k_means_sums(stream: DataFrame, centroids: DataFrame, id_col: str = "doc_id"
 
     scaled = centroids.join(norms(centroids), "cluster").select("cluster", "word", (F.col("value") / F.sqrt(F.greatest("norm", F.lit(1.0)))).alias("v"))
     per_cluster = scaled.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("word", "v"))).alias("m"))
-    table = per_cluster.agg(F.array_sort(F.collect_list(F.struct("cluster", "m"))).alias("all"))
+    table = per_cluster.agg(F.collect_list(F.struct("cluster", "m")).alias("all"))
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "[ \n]"), lambda x: x != "")
     d = stream.select(id_col, words.alias("w")).crossJoin(F.broadcast(table))  # one row
     sims = F.transform("all", lambda c: F.struct(F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + F.coalesce(c["m"][x], F.lit(0.0))), 9).alias("s"), (-c["cluster"]).alias("c")))
