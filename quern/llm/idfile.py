@@ -16,6 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ from quern.session import checkpoint_dir, ship
 
 RUN_CHARS = 6 << 20
 SHARD_BYTES = 12 << 20
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
 _BETWEEN = re.compile(f"[^{WHITE_SPACE}]+")
-_ODD = re.compile("[\x1c-\x1f]")  # white space to str.split alone
-# Letters a-z and the accented letters of Latin-1, then ASCII signs without the apostrophe: what the split pattern makes of such a word is known.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+# In texts of ASCII and the letters of Latin-1 it is known what the tokenizer's classes are: white space, letters, digits, others.
+_OTHER_THAN_PLAIN = re.compile("[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]|<\\|")
+_PIECE = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\x09-\\x0d a-zß-öø-ÿ0-9]+")
 
 
 def _byte_letters() -> list[str]:
@@ -62,7 +63,6 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, list[int]] = {}
         self.pieces: dict[str, list[int]] = {}
         with open(path) as f:
             spec = json.load(f)
@@ -72,47 +72,55 @@ class Words:
         self.apart = steps == ["NFC", "Replace", "Lowercase"] and "\\\\p{L}]+|[\\\\p{N}]|[^\\\\s" in pattern and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
         self.size = self.tokenizer.get_vocab_size()
 
-    def piece(self, text: str) -> list[int]:
-        """Ids of one pre-token, by the library's model."""
-        ids = self.pieces.get(text)
-        if ids is None:
-            if len(self.pieces) > KEPT_WORDS:
-                self.pieces.clear()
-            ids = self.pieces[text] = [t.id for t in self.tokenizer.model.tokenize("".join(map(_LETTERS.__getitem__, text.encode())))]
-        return ids
-
-    def of(self, words: list[str]) -> list[list[int]]:
-        known = self.known
-        if len(known) > KEPT_WORDS:
+    def of(self, names: list[str], plain: list[bool]) -> list[list[int]]:
+        """Ids of plain pieces, each one pre-token in lower case, by the library's model; of other words by the library as a whole."""
+        tokenize = self.tokenizer.model.tokenize
+        known = self.pieces
+        if len(known) + len(names) > KEPT_WORDS:
             known.clear()
+        out: list[list[int] | None] = []
         other = []
-        for w in words:
-            if w not in known:
-                if m := _PLAIN.fullmatch(w):
-                    known[w] = self.piece(m[1].lower()) + self.piece(m[2]) if m[2] else self.piece(m[1].lower())
-                else:
-                    other.append(w)
-        for some in balanced(other, 1 << 18):
-            known.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [known[w] for w in words]
+        for n, (name, one) in enumerate(zip(names, plain, strict=True)):
+            ids = None
+            if one:
+                ids = known.get(name)
+                if ids is None:
+                    letters = name if name.isascii() and name.isalnum() else "".join(map(_LETTERS.__getitem__, name.encode()))
+                    ids = known[name] = [t.id for t in tokenize(letters)]
+            else:
+                other.append(n)
+            out.append(ids)
+        for some in balanced([names[n] for n in other], 1 << 18):
+            for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                out[other.pop(0)] = e.ids
+        return out
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end`` after each, and how many each has."""
         if not self.apart:
             ids = [[*e.ids, end] for run in balanced(texts, 1 << 22) for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
             return np.array([x for i in ids for x in i], np.int64), np.array([len(i) for i in ids], np.int64)
-        numbers = Numbering()
-        numbers[""] = 0  # the end
+        pieces, words = Numbering(), Numbering()  # the end is piece 0, words count from -1 down
+        pieces[""] = 0
         seqs = []
         for text in texts:
-            words = _BETWEEN.findall(text) if _ODD.search(text) else text.split()
-            words.append("")
-            seqs.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-        del numbers[""]
-        ids = [[end], *self.of(list(numbers))]
-        lengths = np.array([len(i) for i in ids], np.int64)
-        flat = np.array([x for i in ids for x in i], np.int64)
-        return expand(flat, lengths, np.concatenate(seqs)), np.array([lengths[s].sum() for s in seqs], np.int64)
+            if _OTHER_THAN_PLAIN.search(text):
+                names = _BETWEEN.findall(text)
+                seq = -1 - np.fromiter(map(words.__getitem__, names), np.int64, len(names))
+            else:
+                names = _PIECE.findall(text.lower())
+                seq = np.fromiter(map(pieces.__getitem__, names), np.int64, len(names))
+            seqs.append(np.append(seq, 0))
+        names = [*pieces, *words]
+        ids = self.of(names[1:], [True] * (len(pieces) - 1) + [False] * len(words))
+        ids.insert(0, [end])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
+        which = np.concatenate(seqs)
+        which[which < 0] = len(pieces) - 1 - which[which < 0]
+        n = lengths[which]
+        cuts = np.cumsum([len(s) for s in seqs])
+        return expand(flat, lengths, which), np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], cuts])])
 
 
 @functools.lru_cache(maxsize=2)

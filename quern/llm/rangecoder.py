@@ -21,7 +21,7 @@ BLOCK = 1 << 20  # ids in a block
 LANES = 4096
 STEPS_LEAST = 64  # a short block has fewer lanes rather than fewer steps
 ORDER_1, ORDER_2 = 1 << 16, 1 << 18  # contexts, by hash
-TOP = 16  # levels of confidence
+TOP = 16  # levels of confidence, in four bits
 GAIN = 32  # what one occurrence adds to an id's share
 MAGIC = b"QRC1"
 HEAD = struct.Struct("<4sIIIII")  # magic, ids, lanes, alphabet, crc32 of the ids, crc32 of the payload
@@ -41,8 +41,8 @@ class Model:
         self.step = 0
         self.prev = np.zeros(lanes, np.int64)
         self.prev2 = np.zeros(lanes, np.int64)
-        self.guess = [np.zeros(ORDER_1, np.int64), np.zeros(ORDER_2, np.int64)]
-        self.level = [np.zeros(ORDER_1, np.int64), np.zeros(ORDER_2, np.int64)]
+        # guessed id * TOP + confidence, for each context
+        self.table = [np.zeros(ORDER_1, np.int32), np.zeros(ORDER_2, np.int32)]
         self.record = [np.tile(np.array([8, 1], np.int64), TOP) for _ in range(2)]  # misses and hits by level
         self._share()
 
@@ -60,8 +60,9 @@ class Model:
         at1 = self.prev & (ORDER_1 - 1)
         at2 = ((self.prev * 0x9E3779B1 + self.prev2 * 0x85EBCA77) >> 7) & (ORDER_2 - 1)
         self.at = (at1, at2)
-        self.p = [g[a] for g, a in zip(self.guess, self.at, strict=True)]
-        self.c = [v[a] for v, a in zip(self.level, self.at, strict=True)]
+        self.entry = [t[a] for t, a in zip(self.table, self.at, strict=True)]
+        self.p = [e >> 4 for e in self.entry]
+        self.c = [e & (TOP - 1) for e in self.entry]
         self.m = [t[c] for t, c in zip(self.add, self.c, strict=True)]
         self.all = self.total + self.m[0] + self.m[1]
 
@@ -85,12 +86,13 @@ class Model:
         return np.searchsorted(cum, x, "right") - 1
 
     def learn(self, ids: np.ndarray) -> None:
+        small = ids.astype(np.int32)
         for k in range(2):
-            at, c, p = self.at[k], self.c[k], self.p[k]
-            hit = p == ids
+            c, e = self.c[k], self.entry[k]
+            hit = self.p[k] == small
             self.record[k] += np.bincount(2 * c + hit, minlength=2 * TOP)
-            self.guess[k][at] = np.where(hit | (c > 0), p, ids)
-            self.level[k][at] = np.where(hit, np.minimum(c + 1, TOP - 1), c >> 1)
+            wrong = np.where(c > 0, e - c + (c >> 1), small << 4)
+            self.table[k][self.at[k]] = np.where(hit, e + (c < TOP - 1), wrong)
         self.prev2, self.prev = self.prev, ids
         self.recent.append(ids)
         self.step += 1
