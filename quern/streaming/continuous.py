@@ -60,9 +60,9 @@ def k_means_sums(stream: DataFrame, centroids: DataFrame, id_col: str = "doc_id"
     table = per_cluster.agg(F.collect_list(F.struct("cluster", "m")).alias("all"))
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "[ \n]"), lambda x: x != "")
     d = stream.select(id_col, words.alias("w")).crossJoin(F.broadcast(table))  # one row
-    sims = F.transform("all", lambda c: F.struct(F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + F.coalesce(c["m"][x], F.lit(0.0))), 9).alias("s"), (-c["cluster"]).alias("c")))
+    sims = F.transform("all", lambda c: F.struct(F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + F.coalesce(c["m"][x], F.lit(0.0))), 9), -c["cluster"]))
     best = F.array_max(sims)
-    cluster = F.when(best["s"] > 0, -best["c"]).otherwise(F.lit(0))
+    cluster = F.when(best["col1"] > 0, -best["col2"]).otherwise(F.lit(0))
     return d.select(cluster.cast("int").alias("cluster"), F.explode("w").alias("word")).groupBy("cluster", "word").agg(F.count("*").alias("total"))
 
 
