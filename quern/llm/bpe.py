@@ -50,8 +50,8 @@ def _splitter(pattern: str) -> tuple:
     return regex.compile(pattern), {}
 
 
-def pre_tokens(texts: list[str], pattern: str) -> tuple[list[np.ndarray], list[bytes]]:
-    """Numbers of the pre-tokens of each text in order, and the pre-tokens by number.
+def pre_tokens(texts: list[str], pattern: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Numbers of the pre-tokens of all texts in order, how many each text has, and the pre-tokens by number.
 
     A text is first cut where white space follows another character. No match of the pattern spans
     such a place, nor looks past it, so a part gives the same matches alone; equal parts are matched once.
@@ -70,7 +70,9 @@ def pre_tokens(texts: list[str], pattern: str) -> tuple[list[np.ndarray], list[b
         flat += map(words.__getitem__, found)
         lengths[n] = len(found)
     flat = np.array(flat, np.int64)
-    return [expand(flat, lengths, s) for s in seqs], [utf8(w) for w in words]
+    which, n_parts = exchange.joined(seqs)
+    ends = np.concatenate([[0], np.cumsum(lengths[which])])[np.concatenate([[0], np.cumsum(n_parts)])]
+    return expand(flat, lengths, which), np.diff(ends), [utf8(w) for w in words]
 
 
 def _encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:

@@ -58,6 +58,11 @@ def unpack_words(b: bytes) -> list[bytes]:
     return [text[a:e] for a, e in zip(starts, ends, strict=True)]
 
 
+def joined(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays end to end, and their lengths."""
+    return np.concatenate([np.empty(0, np.int64), *seqs]), np.array([len(s) for s in seqs], np.int64)
+
+
 def expand(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` (run i has ``lengths[i]`` items) named by ``which``, end to end."""
     lengths = lengths.astype(np.int64)
@@ -104,15 +109,14 @@ def runs(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterato
 class Chunk:
     """ids, number of words of each text, all word numbers in order, and the words, most frequent first."""
 
-    def __init__(self, ids: list, texts: list[str], number: Callable[[list[str]], tuple[list[np.ndarray], list[bytes]]]):
+    def __init__(self, ids: list, texts: list[str], number: Callable[[list[str]], tuple[np.ndarray, np.ndarray, list[bytes]]]):
+        """``number`` gives the word numbers of all texts end to end, how many each has, and the words."""
         digest = xxhash.xxh3_128()
         for i, t in zip(ids, texts, strict=True):
             digest.update(repr(i) + "\0")
             digest.update(t.encode("utf-8", "surrogatepass"))
         self.key, self.ids = digest.digest(), ids
-        parts, words = number(texts)
-        self.lengths = np.array([len(p) for p in parts], np.int64)
-        seq = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        seq, self.lengths, words = number(texts)
         count = np.bincount(seq, minlength=len(words))
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(words), np.int64)

@@ -51,10 +51,10 @@ def least(n):
     return -(-PERCENT * n // 100)
 
 
-def _number(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+def _number(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     numbers = Numbering()
     seqs = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in map(by_space, texts)]
-    return seqs, list(numbers)
+    return *exchange.joined(seqs), list(numbers)
 
 
 def shingle_set(words: np.ndarray, k: int = K) -> np.ndarray:
