@@ -76,7 +76,7 @@ def map_stage(df: DataFrame, job: Job) -> DataFrame:
     errors = df.sparkSession.sparkContext.accumulator(0)
     job.configuration["errors"] = errors
     site = F.col(job.site).cast("string") if job.site else F.lit("")
-    src = df.select(site.alias("site"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("row"))
+    src = df.select(site.alias("site"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[str, str], list] = defaultdict(list)

@@ -16,7 +16,7 @@ def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 def line_blocks(spark: SparkSession, path: str, lines_each: int = 1000) -> DataFrame:
     """``file, block, lines``: runs of ``lines_each`` lines of each file, in order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "\n$", ""), "\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "\n$", ""), "\n").alias("l"))
     n = F.ceil(F.size("l") / lines_each).cast("int")
     return whole.select("file", "l", F.explode(F.sequence(F.lit(0), n - 1)).alias("block")).select("file", "block", F.expr(f"slice(l, block * {lines_each} + 1, {lines_each})").alias("lines"))
 
@@ -35,7 +35,7 @@ def word_histograms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def wiki_documents(spark: SparkSession, path: str) -> DataFrame:
     """``file, doc, text``: documents that begin after a line starting `` doc id`` and end at a line `` doc``."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.wiki").text(path)
+    whole = spark.read.option("pathGlobFilter", "*.wiki").text(path, wholetext=True)
     parts = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.expr(r"regexp_extract_all(concat(value, '\n'), '(?m)^ doc id[^\\n]*\\n((?:(?! doc$)[^\\n]*\\n)*?) doc$', 1)")).alias("doc", "text"))
     return parts.select("file", "doc", F.regexp_replace("text", "\n$", "").alias("text"))
 
