@@ -180,10 +180,13 @@ def shingle_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def boundary(nodes: DataFrame) -> int:
-    """The largest size whose pairs of first shingles are no more than the entries that a scan reads on average."""
+    """The largest size whose pairs of first shingles are no more than the entries of its lists.
+
+    Lists count with their mean length: an entry meets the centre of its list and the few entries of other
+    components, so a long list costs its entries no more than a short one.
+    """
     lists = _entries(nodes, None).groupBy("key").count()
-    row = lists.agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("s"), F.sum("count").alias("c")).first()
-    length = (row["s"] / row["c"]) if row["c"] else 1.0
+    length = lists.agg(F.avg("count")).first()[0] or 1.0
     n = 4
     while n < SMALL_MOST and (n + 1 - least(n + 1) + 2) / 2 <= length:
         n += 1
