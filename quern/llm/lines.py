@@ -1,7 +1,8 @@
 """Line dedup, native: fuzzy lines by MinHash.
 
-The signature of a line has one minimum for each bin of the hashes of its character shingles, here those
-that begin at words. Lines that share two minima in a row are candidates; each is paired with the first and with
+The signature of a line has one minimum for each bin of the hashes of its character shingles: all of
+SHINGLE characters in a line of few words, in longer ones those that span a word and the next, which are as many
+as its words. Lines that share three minima in a row are candidates; each is paired with the first and with
 the previous line of such a group, so groups of any size give pairs in proportion. Pairs are verified by
 the exact Jaccard similarity of all their character shingles, linked lines fall into components by distributed
 union-find, and of each component the first line stays. Equal lines need no candidates. Only SQL functions are used.
@@ -17,7 +18,7 @@ from quern.session import cut
 
 MIN_CHARS = 20  # shorter lines stay as they are
 SHINGLE = 5  # characters, for the exact similarity
-ANCHORED = 8  # characters of the shingles at words, for the signature
+FEW_WORDS = 12  # lines of fewer words are signed by all their shingles
 BIN_BITS = 4  # 16 bins
 SIMILAR = 80  # hundredths
 BROADCAST_LINES = 500_000  # ids of candidate lines, 8 bytes each, that may go to every executor
@@ -35,13 +36,15 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of lines that share two minima in a row."""
-    s = lines.selectExpr("node", r"split(trim(line), '[ \\t]+') AS w")
-    # the hash of the first characters from each word on
-    s = s.selectExpr("node", f"sort_array(array_distinct(transform(w, (x, i) -> xxhash64(left(CASE WHEN length(x) >= {ANCHORED} THEN x ELSE concat_ws(' ', x, get(w, i + 1), get(w, i + 2), get(w, i + 3)) END, {ANCHORED}))))) AS h")
+    """Distinct pairs (a, b), a < b, of lines that share three minima in a row."""
+    s = lines.selectExpr("node", "line", r"transform(split(trim(line), '[ \\t]+'), x -> xxhash64(x)) AS w")
+    every = f"transform(sequence(1, greatest(1, length(line) - {SHINGLE - 1})), i -> xxhash64(substring(line, i, {SHINGLE})))"
+    spans = "zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w)), (x, y) -> xxhash64(x, y))"
+    s = s.selectExpr("node", f"sort_array(CASE WHEN size(w) < {FEW_WORDS} THEN {every} ELSE {spans} END) AS h")
     shift = 64 - BIN_BITS
     s = s.selectExpr("node", f"filter(h, (x, i) -> i = 0 OR shiftrightunsigned(x, {shift}) <> shiftrightunsigned(get(h, i - 1), {shift})) AS m")
-    keys = "CASE WHEN size(m) = 1 THEN array(xxhash64(m[0])) ELSE zip_with(slice(m, 1, size(m) - 1), slice(m, 2, size(m)), (x, y) -> xxhash64(x, y)) END"
+    two = "zip_with(slice(m, 1, size(m) - 2), slice(m, 2, size(m) - 2), (x, y) -> xxhash64(x, y))"
+    keys = f"CASE WHEN size(m) < 3 THEN array(xxhash64(m)) ELSE zip_with({two}, slice(m, 3, size(m) - 2), (x, y) -> xxhash64(x, y)) END"
     bands = s.selectExpr("node", f"explode({keys}) AS key")
     w = Window.partitionBy("key")
     near = bands.select("node", F.min("node").over(w).alias("first"), F.lag("node").over(w.orderBy("node")).alias("previous"))

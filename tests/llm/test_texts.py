@@ -202,7 +202,9 @@ def test_lines_against_brute_force(spark, sf):
         p = part[at[x]]
         drop[i] += p in seen
         seen.add(p)
-    assert {r["doc_id"]: r["n_dropped"] for r in lines.dedup(docs).collect()} == {i: drop[i] for i in (r["doc_id"] for r in docs.collect())}
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.dedup(docs).collect()}
+    # banding finds nearly all; nothing that is unlike may go
+    assert all(got[i] <= drop[i] for i in got) and sum(got.values()) >= 0.97 * sum(drop.values())
 
 
 def test_classifier(spark, empty):
