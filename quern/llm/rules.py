@@ -90,11 +90,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         """CASE WHEN size(_s) = 0 THEN array() ELSE
            sort_array(transform(filter(_s, (p, j) -> (j > 0 AND get(_s, j - 1).x = p.x) OR (j < size(_s) - 1 AND get(_s, j + 1).x = p.x)), p -> p.i)) END AS _d""",
     )
-    # a repeated window covers 8 words, less where the next one begins sooner
+    # a repeated window covers 8 words, less where the next one begins sooner; the number of the row, never
+    # negative, keeps filters on the verdict above this step: pushed further they would copy all the expressions below
     df = df.selectExpr(
         "*",
         """CASE WHEN size(_d) = 0 THEN 0L ELSE
-           aggregate(transform(_d, (s, j) -> least(8, coalesce(get(_d, j + 1), s + 8) - s)), 0L, (a, v) -> a + v) END AS _rep""",
+           aggregate(transform(_d, (s, j) -> least(8, coalesce(get(_d, j + 1), s + 8) - s)), 0L, (a, v) -> a + v) END + IF(monotonically_increasing_id() < 0, 1L, 0L) AS _rep""",
         rf"CASE WHEN cleaned = {t} THEN _chars ELSE length(regexp_replace(cleaned, '{WORDS_APART}', '')) END AS _left",
     )
     return df.selectExpr(
