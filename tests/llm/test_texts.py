@@ -173,7 +173,7 @@ def test_licenses(spark, docs, sf, empty):
 
 
 def test_lines(spark, docs, rows, empty):
-    base = [f"Line number {k} of the table speaks about {'abcdefghij'[k % 10] * 6} and {k * k} more things." for k in range(12)]
+    base = [f"Line number {k} of the table speaks about {'abcdefghij'[k % 10] * 6} and {k * k} more things, {'klmnopqrst'[k % 10] * 7} going on for {k + 100} words so that one changed word is a small part of the line." for k in range(10)]
     texts = ["\n".join(base), "\n".join(x.replace("speaks", "spoke") for x in base) + "\nshort", base[3] + "\nshort\n" + base[3], None, ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in lines.dedup(df).collect()}
