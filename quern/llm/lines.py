@@ -1,15 +1,17 @@
 """Line dedup, native: fuzzy lines by MinHash.
 
-The signature of a line has one minimum for each bin of the hashes of its character shingles: all of
-SHINGLE characters in a line of few words, in longer ones those that span a word and the next, which are as many
-as its words. Lines that share three minima in a row are candidates; each is paired with the first and with
-the previous line of such a group, so groups of any size give pairs in proportion. Pairs are verified by
-the exact Jaccard similarity of all their character shingles, linked lines fall into components by distributed
-union-find, and of each component the first line stays. Equal lines need no candidates. Only SQL functions are used.
+The signature of a line has one minimum for each bin of the hashes of all its character shingles. Lines that share
+three minima in a row are candidates. Each is paired with the
+first and with the previous line of such a group. Pairs are verified by the exact Jaccard similarity of all their
+character shingles, and linked lines fall into components by distributed union-find. Before a pair is verified, parity bits of the hashes of its sets, which can differ in
+no more places than the sets do, rule out most unlike ones without loss. Of each component the first line stays.
+Equal lines need no candidates. Only SQL functions are used; shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ from quern.session import cut
 
 MIN_CHARS = 20  # shorter lines stay as they are
 SHINGLE = 5  # characters, for the exact similarity
-FEW_WORDS = 12  # lines of fewer words are signed by all their shingles
-BIN_BITS = 4  # 16 bins
+CHUNK = 64  # shingles hashed from one piece of a line, as a long text is slow to index
+BINS = 24
 SIMILAR = 80  # hundredths
 BROADCAST_LINES = 500_000  # ids of candidate lines, 8 bytes each, that may go to every executor
 
@@ -35,46 +37,83 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of lines that share three minima in a row."""
-    s = lines.selectExpr("node", "line", r"transform(split(trim(line), '[ \\t]+'), x -> xxhash64(x)) AS w")
-    every = f"transform(sequence(1, greatest(1, length(line) - {SHINGLE - 1})), i -> xxhash64(substring(line, i, {SHINGLE})))"
-    spans = "zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w)), (x, y) -> xxhash64(x, y))"
-    s = s.selectExpr("node", f"sort_array(CASE WHEN size(w) < {FEW_WORDS} THEN {every} ELSE {spans} END) AS h")
-    shift = 64 - BIN_BITS
-    s = s.selectExpr("node", f"filter(h, (x, i) -> i = 0 OR shiftrightunsigned(x, {shift}) <> shiftrightunsigned(get(h, i - 1), {shift})) AS m")
+def _hashes(line: str) -> str:
+    """SQL: the distinct hashes of the shingles of ``line``, sorted."""
+    pieces = f"transform(sequence(1, greatest(1, length({line}) - {SHINGLE - 1}), {CHUNK}), j -> substring({line}, j, {CHUNK + SHINGLE - 1}))"
+    return f"array_distinct(sort_array(flatten(transform({pieces}, c -> transform(sequence(1, greatest(1, length(c) - {SHINGLE - 1})), i -> xxhash64(substring(c, i, {SHINGLE})))))))"
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """``node, n, b0 .. b3, keys`` of each distinct line: its number of shingles, parity bits, and keys of groups."""
+    s = lines.groupBy("node").agg(F.first("line").alias("line")).selectExpr("node", f"{_hashes('line')} AS h")
+    # sorted hashes fall into quarters by their first two bits
+    s = s.selectExpr("node", "h", "size(h) AS n", "size(filter(h, x -> x < 0)) AS half")
+    s = s.selectExpr("node", "h", "n", "slice(h, 1, half) AS low", "slice(h, half + 1, n - half) AS high", "half")
+    s = s.selectExpr("node", "h", "n", "half", f"size(filter(low, x -> x < {-(1 << 62)})) AS q1", f"half + size(filter(high, x -> x < {1 << 62})) AS q3")
+    ends = ("0", "q1", "half", "q3", "n")
+    bits = [f"aggregate(slice(h, {x} + 1, {y} - {x}), 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT))) AS b{k}" for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False))]
+    place = f"shiftright(shiftrightunsigned({{}}, 48) * {BINS}, 16)"
+    s = s.selectExpr("node", "n", *bits, f"filter(h, (x, i) -> i = 0 OR {place.format('x')} <> {place.format('get(h, i - 1)')}) AS m")
     two = "zip_with(slice(m, 1, size(m) - 2), slice(m, 2, size(m) - 2), (x, y) -> xxhash64(x, y))"
-    keys = f"CASE WHEN size(m) < 3 THEN array(xxhash64(m)) ELSE zip_with({two}, slice(m, 3, size(m) - 2), (x, y) -> xxhash64(x, y)) END"
-    bands = s.selectExpr("node", f"explode({keys}) AS key")
-    w = Window.partitionBy("key")
-    near = bands.select("node", F.min("node").over(w).alias("first"), F.lag("node").over(w.orderBy("node")).alias("previous"))
-    pairs = near.filter("previous IS NOT NULL AND previous <> node")
-    pairs = pairs.select("node", F.explode(F.array_distinct(F.array("first", "previous"))).alias("other"))
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).filter("a <> b").distinct()
+    three = f"CASE WHEN size(m) < 3 THEN array(xxhash64(m)) ELSE zip_with({two}, slice(m, 3, size(m) - 2), (x, y) -> xxhash64(x, y)) END"
+    return s.selectExpr("node", "n", "b0", "b1", "b2", "b3", f"{three} AS keys")
 
 
-def _shingles(line: str) -> str:
-    return f"array_distinct(transform(sequence(1, greatest(1, length({line}) - {SHINGLE - 1})), i -> substring({line}, i, {SHINGLE})))"
+def _may_link(a: str, b: str) -> str:
+    """SQL: the signed lines ``a`` and ``b`` can be similar enough."""
+    apart = " + ".join(f"bit_count({a}.b{k} ^ {b}.b{k})" for k in range(4))
+    return f"{100 + SIMILAR} * ({apart}) <= {100 - SIMILAR} * ({a}.n + {b}.n)"
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def _groups(signed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a line with the first and the previous of its groups."""
+    w = Window.partitionBy("key")
+    near = signed.selectExpr("node", "explode(array_distinct(keys)) AS key")
+    near = near.select("key", "node", F.min("node").over(w).alias("first"), F.lag("node").over(w.orderBy("node")).alias("previous"))
+    near = cut(near.selectExpr("node", "first", "previous").filter("previous IS NOT NULL"))
+    _release(signed)
+    pairs = near.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "previous"))).alias("b"))
+    pairs = _ordered(pairs)
+    sides = signed.drop("keys")
+    pairs = pairs.join(sides.withColumnRenamed("node", "a").alias("x"), "a").join(sides.withColumnRenamed("node", "b").alias("y"), "b")
+    return cut(pairs.filter(_may_link("x", "y")).select("a", "b"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     nodes = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_LINES else nodes
     texts = lines.select("node", "line").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
-    texts = cut(texts)
     p = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
     # sizes alone rule out pairs of unlike lengths
     p = p.filter(f"100 * least(length(x), length(y)) >= {SIMILAR // 2} * greatest(length(x), length(y))")
-    p = p.selectExpr("a", "b", f"{_shingles('x')} AS x", f"{_shingles('y')} AS y")
+    p = p.selectExpr("a", "b", f"{_hashes('x')} AS x", f"{_hashes('y')} AS y")
     p = p.selectExpr("a", "b", "size(x) + size(y) AS both", "size(array_intersect(x, y)) AS common")
     return p.filter(f"100 * common >= {SIMILAR} * (both - common)").select("a", "b")
 
 
+def _release(df: DataFrame) -> None:
+    """Let Spark take back the disk of shuffles that nothing refers to any more."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def _links(lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of candidates that are similar enough."""
+    signed = cut(_signed(lines))
+    _release(lines)
+    star = _groups(signed)
+    _release(lines)
+    return cut(_verified(star, lines))
+
+
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, line_nos``: the lines (from 0) that go, for each row that loses any."""
     lines = _lines(docs, id_col, text_col)
-    pairs = cut(_candidates(lines))
-    labels = components(cut(_verified(pairs, lines)))
+    labels = components(_links(lines))
     at = F.struct("id", "row", "line_no")
     groups = lines.groupBy("node").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     groups = cut(groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import string
 import zlib
 
 import numpy as np
@@ -221,3 +222,59 @@ def test_classifier(spark, empty):
     assert classify.score(odd, model).count() == 3 and classify.score(empty, model).count() == 0
     none = classify.train(docs, labels.limit(0))
     assert classify.score(odd, none).count() == 3
+
+
+def line_sets(own):
+    return [frozenset(x[i : i + 5] for i in range(max(1, len(x) - 4))) for x in own]
+
+
+def dropped_by_brute_force(parts):
+    """How many lines each document loses, for (doc_id, line) in order."""
+    own = list(dict.fromkeys(x for _, x in parts))
+    sets = line_sets(own)
+    links = []
+    for a in range(len(own)):
+        for b in range(a):
+            x, y = len(sets[a]), len(sets[b])
+            if 100 * min(x, y) >= 80 * max(x, y):
+                common = len(sets[a] & sets[b])
+                if 100 * common >= 80 * (x + y - common):
+                    links.append((a, b))
+    part = components_of(range(len(own)), links)
+    at, seen, drop = {x: k for k, x in enumerate(own)}, set(), collections.Counter()
+    for i, x in parts:
+        p = part[at[x]]
+        drop[i] += p in seen
+        seen.add(p)
+    return drop
+
+
+def near_lines(kind, n=150):
+    """``2 n`` lines of which each second one is a near copy of the one before."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list(string.ascii_lowercase), rng.integers(3, 9)))
+    shared, out = [word() for _ in range(26)], []
+    for _ in range(n):
+        own = [word() for _ in range(4 if kind == "passage" else rng.integers(15, 60))]
+        words = shared[:13] + own + shared[13:] if kind == "passage" else own
+        x = " ".join(words)
+        y = list(x)
+        if kind == "words":
+            words = list(words)
+            for k in rng.integers(0, len(words), max(1, len(words) // 20)):
+                words[k] = word()
+            y = words
+        else:
+            for k in rng.integers(0, len(y), 2 if kind == "passage" else max(1, len(y) // 50)):
+                y[k] = "#"
+        out += [x, (" " if kind == "words" else "").join(y)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["characters", "words"])
+def test_lines_find_near_copies(spark, kind):
+    own = near_lines(kind)
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    drop = dropped_by_brute_force(list(enumerate(own)))
+    assert sum(drop.values()) > 100
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.dedup(df).collect()} == {i: drop[i] for i in range(len(own))}
