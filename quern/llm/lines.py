@@ -3,7 +3,9 @@
 The signature of a line has one minimum for each bin of the hashes of all its character shingles. Lines that share
 three minima in a row are candidates. Each is paired with the
 first and with the previous line of such a group. Pairs are verified by the exact Jaccard similarity of all their
-character shingles, and linked lines fall into components by distributed union-find. Before a pair is verified, parity bits of the hashes of its sets, which can differ in
+character shingles, and linked lines fall into components by distributed union-find. Then lines of a group that
+still lie in different components are compared, in large groups in blocks, so no differing pair of a group stays
+unexamined. Before a pair is verified, parity bits of the hashes of its sets, which can differ in
 no more places than the sets do, rule out most unlike ones without loss. Of each component the first line stays.
 Equal lines need no candidates. Only SQL functions are used; shingles are compared by 64-bit hashes.
 """
@@ -22,6 +24,7 @@ MIN_CHARS = 20  # shorter lines stay as they are
 SHINGLE = 5  # characters, for the exact similarity
 CHUNK = 64  # shingles hashed from one piece of a line, as a long text is slow to index
 BINS = 24
+LIST_BLOCK = 4096  # lines of a group that one task compares with the lines of other components
 SIMILAR = 80  # hundredths
 BROADCAST_LINES = 500_000  # ids of candidate lines, 8 bytes each, that may go to every executor
 
@@ -69,18 +72,33 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _groups(signed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a line with the first and the previous of its groups."""
+def _groups(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of a line with the first and the previous of its groups; ``key, node`` of groups that have more pairs."""
     w = Window.partitionBy("key")
     near = signed.selectExpr("node", "explode(array_distinct(keys)) AS key")
-    near = near.select("key", "node", F.min("node").over(w).alias("first"), F.lag("node").over(w.orderBy("node")).alias("previous"))
-    near = cut(near.selectExpr("node", "first", "previous").filter("previous IS NOT NULL"))
+    near = near.select("key", "node", F.min("node").over(w).alias("first"), F.lag("node").over(w.orderBy("node")).alias("previous"), F.count("*").over(w).alias("size"))
+    near = cut(near.selectExpr("node", "first", "previous", "CASE WHEN size > 3 THEN key END AS key").filter("previous IS NOT NULL OR key IS NOT NULL"))
     _release(signed)
-    pairs = near.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "previous"))).alias("b"))
+    pairs = near.filter("previous IS NOT NULL").select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "previous"))).alias("b"))
     pairs = _ordered(pairs)
     sides = signed.drop("keys")
     pairs = pairs.join(sides.withColumnRenamed("node", "a").alias("x"), "a").join(sides.withColumnRenamed("node", "b").alias("y"), "b")
-    return cut(pairs.filter(_may_link("x", "y")).select("a", "b"))
+    return cut(pairs.filter(_may_link("x", "y")).select("a", "b")), near.filter("key IS NOT NULL").select("key", "node")
+
+
+def _across(groups: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of lines of a group that have different components and can be similar enough."""
+    e = groups.join(labels.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = e.groupBy("key", "part").count()
+    lists = parts.groupBy("key").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), F.max_by("part", F.struct("count", "part")).alias("most"))
+    lists = lists.filter("parts > 1").select("key", "most", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks"))
+    e = cut(e.join(lists, "key").join(signed.drop("keys"), "node"))
+    # lines outside of the largest component go to every block of their group, others to one
+    x = e.filter("part <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    y = e.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    both = "x.key = y.key AND x.block = y.block AND x.part <> y.part AND (y.part = y.most OR x.node < y.node)"
+    pairs = x.alias("x").join(y.alias("y"), F.expr(f"{both} AND {_may_link('x', 'y')}"))
+    return _ordered(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -102,12 +120,15 @@ def _release(df: DataFrame) -> None:
 
 
 def _links(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of candidates that are similar enough."""
+    """Pairs (a, b) of lines that are similar enough, as many as their components need."""
     signed = cut(_signed(lines))
     _release(lines)
-    star = _groups(signed)
+    star, groups = _groups(signed)
+    _release(lines)
+    links = cut(_verified(star, lines))
     _release(lines)
-    return cut(_verified(star, lines))
+    across = cut(_across(groups, signed, components(links)).join(star, ["a", "b"], "left_anti"))
+    return links if across.isEmpty() else links.unionByName(cut(_verified(across, lines)))
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -271,10 +271,15 @@ def near_lines(kind, n=150):
     return out
 
 
-@pytest.mark.parametrize("kind", ["characters", "words"])
+@pytest.mark.parametrize("kind", ["characters", "words", "passage"])
 def test_lines_find_near_copies(spark, kind):
-    own = near_lines(kind)
+    own = near_lines(kind, 400 if kind == "passage" else 150)
     df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
     drop = dropped_by_brute_force(list(enumerate(own)))
     assert sum(drop.values()) > 100
     assert {r["doc_id"]: r["n_dropped"] for r in lines.dedup(df).collect()} == {i: drop[i] for i in range(len(own))}
+
+
+def test_groups_of_lines_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LIST_BLOCK", 2)
+    test_lines_find_near_copies(spark, "passage")
