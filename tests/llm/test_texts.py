@@ -249,6 +249,13 @@ def dropped_by_brute_force(parts):
     return drop
 
 
+def test_lines_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    parts = [(r["doc_id"], x) for r in docs.orderBy("doc_id").collect() for x in r["text"].split("\n") if len(x.strip(" ")) >= lines.MIN_CHARS]
+    drop = dropped_by_brute_force(parts)
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.dedup(docs).collect()} == {r["doc_id"]: drop[r["doc_id"]] for r in docs.collect()}
+
+
 def near_lines(kind, n=150):
     """``2 n`` lines of which each second one is a near copy of the one before."""
     rng = np.random.default_rng(7)
