@@ -1,11 +1,11 @@
 """Line dedup, native: fuzzy lines by MinHash.
 
 The signature of a line has one minimum for each bin of the hashes of all its character shingles. Lines that share
-three minima in a row are candidates. Each is paired with the
+three minima in a row are candidates; lines of very few shingles also those that share any. Each is paired with the
 first and with the previous line of such a group. Pairs are verified by the exact Jaccard similarity of all their
 character shingles, and linked lines fall into components by distributed union-find. Then lines of a group that
 still lie in different components are compared, in large groups in blocks, so no differing pair of a group stays
-unexamined. Before a pair is verified, parity bits of the hashes of its sets, which can differ in
+unexamined. Before a pair is verified, the sizes of its sets and parity bits of their hashes, which can differ in
 no more places than the sets do, rule out most unlike ones without loss. Of each component the first line stays.
 Equal lines need no candidates. Only SQL functions are used; shingles are compared by 64-bit hashes.
 """
@@ -24,6 +24,7 @@ MIN_CHARS = 20  # shorter lines stay as they are
 SHINGLE = 5  # characters, for the exact similarity
 CHUNK = 64  # shingles hashed from one piece of a line, as a long text is slow to index
 BINS = 24
+FEW_SHINGLES = 10  # lines of so few are also candidates by each single one
 LIST_BLOCK = 4096  # lines of a group that one task compares with the lines of other components
 SIMILAR = 80  # hundredths
 BROADCAST_LINES = 500_000  # ids of candidate lines, 8 bytes each, that may go to every executor
@@ -56,16 +57,16 @@ def _signed(lines: DataFrame) -> DataFrame:
     ends = ("0", "q1", "half", "q3", "n")
     bits = [f"aggregate(slice(h, {x} + 1, {y} - {x}), 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT))) AS b{k}" for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False))]
     place = f"shiftright(shiftrightunsigned({{}}, 48) * {BINS}, 16)"
-    s = s.selectExpr("node", "n", *bits, f"filter(h, (x, i) -> i = 0 OR {place.format('x')} <> {place.format('get(h, i - 1)')}) AS m")
+    s = s.selectExpr("node", "n", *bits, "h", f"filter(h, (x, i) -> i = 0 OR {place.format('x')} <> {place.format('get(h, i - 1)')}) AS m")
     two = "zip_with(slice(m, 1, size(m) - 2), slice(m, 2, size(m) - 2), (x, y) -> xxhash64(x, y))"
     three = f"CASE WHEN size(m) < 3 THEN array(xxhash64(m)) ELSE zip_with({two}, slice(m, 3, size(m) - 2), (x, y) -> xxhash64(x, y)) END"
-    return s.selectExpr("node", "n", "b0", "b1", "b2", "b3", f"{three} AS keys")
+    return s.selectExpr("node", "n", "b0", "b1", "b2", "b3", f"CASE WHEN n <= {FEW_SHINGLES} THEN concat({three}, h) ELSE {three} END AS keys")
 
 
 def _may_link(a: str, b: str) -> str:
     """SQL: the signed lines ``a`` and ``b`` can be similar enough."""
     apart = " + ".join(f"bit_count({a}.b{k} ^ {b}.b{k})" for k in range(4))
-    return f"{100 + SIMILAR} * ({apart}) <= {100 - SIMILAR} * ({a}.n + {b}.n)"
+    return f"100 * least({a}.n, {b}.n) >= {SIMILAR} * greatest({a}.n, {b}.n) AND {100 + SIMILAR} * ({apart}) <= {100 - SIMILAR} * ({a}.n + {b}.n)"
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -106,8 +107,6 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_LINES else nodes
     texts = lines.select("node", "line").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
     p = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    # sizes alone rule out pairs of unlike lengths
-    p = p.filter(f"100 * least(length(x), length(y)) >= {SIMILAR // 2} * greatest(length(x), length(y))")
     p = p.selectExpr("a", "b", f"{_hashes('x')} AS x", f"{_hashes('y')} AS y")
     p = p.selectExpr("a", "b", "size(x) + size(y) AS both", "size(array_intersect(x, y)) AS common")
     return p.filter(f"100 * common >= {SIMILAR} * (both - common)").select("a", "b")

@@ -290,3 +290,8 @@ def test_lines_find_near_copies(spark, kind):
 def test_groups_of_lines_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(lines, "LIST_BLOCK", 2)
     test_lines_find_near_copies(spark, "passage")
+
+
+def test_lines_of_few_shingles(spark):
+    df = spark.createDataFrame([(1, "-" * 30), (2, "-" * 100), (3, "=-" * 20), (4, "=-" * 60)], "doc_id long, text string")
+    assert [r["n_dropped"] for r in lines.dedup(df).orderBy("doc_id").collect()] == [0, 1, 0, 1]
