@@ -281,10 +281,16 @@ def join(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "t
 
 
 def one_each(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps the row of its smallest id; of rows with one id, all.
+    """One row of ``docs`` of each component: that of its smallest id, of rows with one id that of the smallest hash of id and text.
 
-    Rows without words, and rows without id, stay.
+    A row without id stays only if its component has none with an id. Rows equal in id and text leave one. Rows without words all stay.
     """
-    groups = join(docs, k, id_col, text_col)
-    out = groups.filter((F.col("doc_id") != F.col("component_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(out, docs[id_col] == out["_out"], "left_anti")
+    rows = docs.withColumn("_row", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    groups = join(rows, k, "_row", text_col).filter("n_shingles > 0")
+    groups = cut(groups.groupBy(F.col("doc_id").alias("_row")).agg(F.min("component_id").alias("part"), F.count("*").alias("n")))
+    of = rows.select("_row", F.col(f"`{id_col}`").alias("_id")).join(groups, "_row")
+    keep = of.groupBy("part").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))["_row"].alias("stays"))
+    groups = cut(groups.join(keep, "part").select("_row", "n", (F.col("_row") == F.col("stays")).alias("stays")))
+    alone = rows.join(groups.filter("NOT stays OR n > 1").select("_row"), "_row", "left_anti")
+    repeated = rows.join(groups.filter("stays AND n > 1").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    return alone.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -295,3 +295,10 @@ def test_groups_of_lines_are_compared_in_blocks(spark, monkeypatch):
 def test_lines_of_few_shingles(spark):
     df = spark.createDataFrame([(1, "-" * 30), (2, "-" * 100), (3, "=-" * 20), (4, "=-" * 60)], "doc_id long, text string")
     assert [r["n_dropped"] for r in lines.dedup(df).orderBy("doc_id").collect()] == [0, 1, 0, 1]
+
+
+def test_one_row_of_each_component(spark, same):
+    a, b = "one two three four five six seven", "other words that stand in this text here"
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, ""), (3, ""), (4, None), (5, "x y"), (5, "z w v")]
+    got = jaccard.one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same([tuple("" if x is None and k else x for k, x in enumerate(r)) for r in got], [(1, a), (None, b), (3, ""), (3, ""), (4, ""), (5, "x y"), (5, "z w v")])
