@@ -1,99 +1,186 @@
 """Line dedup, native: fuzzy lines by MinHash.
 
-The signature of a line has one minimum for each bin of the hashes of all its character shingles. Lines that share
-three minima in a row are candidates; lines of very few shingles also those that share any. Each is paired with the
-first and with the previous line of such a group. Pairs are verified by the exact Jaccard similarity of all their
-character shingles, and linked lines fall into components by distributed union-find. Then lines of a group that
-still lie in different components are compared, in large groups in blocks, so no differing pair of a group stays
-unexamined. Before a pair is verified, the sizes of its sets and parity bits of their hashes, which can differ in
-no more places than the sets do, rule out most unlike ones without loss. Of each component the first line stays.
-Equal lines need no candidates. Only SQL functions are used; shingles are compared by 64-bit hashes.
+Distinct lines are found first and written as a table with numbers. The signature of a line is the sorted list of the
+smallest hashes of its character shingles. Runs of neighbours in that list are the bands: two lines share a run if all
+hashes that either has in that stretch belong to both. The length of runs follows the number of distinct lines, so that
+chance meetings stay few, and the length of the list follows from it, so that RECALL of the pairs at the threshold share
+a run (see ``places``). Lines of few shingles are listed by their whole sets with runs of three, which no pair of them
+that is similar enough can miss.
+
+Each line is paired with the first and with the previous line of each run it shares. Pairs are ruled out by their
+signatures and verified by the exact Jaccard similarity of all their character shingles, and linked lines fall into
+components by distributed union-find. Then lines of a run that still lie in different components are compared, in
+large groups in blocks, so no differing pair of a group stays unexamined. Of each component the first line stays.
+Equal lines need no candidates. Only SQL functions are used; shingles are compared by 64-bit hashes, lines by their
+numbers, and occurrences find their line by 128-bit hashes.
 """
 
 from __future__ import annotations
 
 import gc
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.session import cut
+from quern.session import checkpoint_dir, cut
 
-MIN_CHARS = 20  # shorter lines stay as they are
+MIN_CHARS = 1  # characters other than white space that a line needs to take part
 SHINGLE = 5  # characters, for the exact similarity
-CHUNK = 64  # shingles hashed from one piece of a line, as a long text is slow to index
-BINS = 24
-FEW_SHINGLES = 10  # lines of so few are also candidates by each single one
-LIST_BLOCK = 4096  # lines of a group that one task compares with the lines of other components
 SIMILAR = 80  # hundredths
-BROADCAST_LINES = 500_000  # ids of candidate lines, 8 bytes each, that may go to every executor
+RECALL = 0.995  # of pairs at the threshold
+CHANCE = 20  # a run is one longer for each such factor in the number of distinct lines
+SKETCH = 24  # smallest hashes by which pairs are ruled out
+BROADCAST_LINES = 500_000  # numbers of candidate lines, 8 bytes each, that may go to every executor; more are joined by shuffle
+LIST_BLOCK = 4096  # lines of a group that one task compares with the lines of other components
+BLANK = "\\u0020\\u0009\\u000b\\u000c\\u000d"  # ASCII white space within a line, in SQL
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for ``value``, worked out once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
 
+def places(run: int, rate: float) -> int:
+    """How many smallest hashes give two lines at the threshold a common run with probability RECALL, if a run's
+    first hash begins one with probability ``rate``. A chain over the hashes of both lines in order, each of which
+    belongs to both with probability SIMILAR."""
+    p, state, n = SIMILAR / 100, [1.0] + [0.0] * run, 0
+    while sum(state) > 1 - RECALL:
+        hits = [p * x for x in state]
+        state = [(1 - p) * sum(state), *hits[: run - 1], (1 - rate) * (hits[run - 1] + hits[run])]
+        n += 1
+    return -(-n * (100 + SIMILAR) // 200)  # of one line
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, row, line_no, line, node``: the lines that take part; ``row`` stands for id and text, ``node`` for the line."""
+
+def run_length(lines: int) -> int:
+    """Neighbours in a run for so many distinct lines."""
+    run = 4
+    while CHANCE**run < lines:
+        run += 1
+    return run
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, row, t``: ``row`` is a 128-bit hash of id and text."""
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    d = d.select("id", _row_key("id", "t").alias("row"), F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
-    return d.filter(F.length(F.trim("line")) >= MIN_CHARS).withColumn("node", F.xxhash64("line"))
+    return d.select("id", _pair("id", "t").alias("row"), "t")
+
+
+def _pair(*cols: str) -> Column:
+    return F.struct(F.xxhash64(*cols).alias("x"), F.xxhash64(F.lit(1), *cols).alias("y"))
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def _split(rows: DataFrame, *cols: str) -> DataFrame:
+    """The lines that take part, with their number in the text."""
+    lines = rows.select(*cols, F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
+    return lines.filter(F.expr(f"length(trim(BOTH '{BLANK}' FROM line)) >= {MIN_CHARS}"))
+
+
+class Table:
+    """``node, line`` and the two hashes of all distinct lines, written once; nodes are their numbers."""
+
+    def __init__(self, rows: DataFrame):
+        self.spark = rows.sparkSession
+        self.folder = f"{checkpoint_dir(self.spark)}/lines-{uuid.uuid4().hex}"
+        distinct = _split(rows).groupBy("line").agg(F.count("*").alias("copies"))
+        distinct = distinct.select(F.monotonically_increasing_id().alias("node"), "line", _pair("line").alias("hash"), "copies")
+        distinct.write.option("compression", "zstd").parquet(self.folder)
+        self.lines = self.spark.read.parquet(self.folder)
+        self.size = self.lines.count()
+
+    def delete(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _hashes(line: str) -> str:
-    """SQL: the distinct hashes of the shingles of ``line``, sorted."""
-    pieces = f"transform(sequence(1, greatest(1, length({line}) - {SHINGLE - 1}), {CHUNK}), j -> substring({line}, j, {CHUNK + SHINGLE - 1}))"
-    return f"array_distinct(sort_array(flatten(transform({pieces}, c -> transform(sequence(1, greatest(1, length(c) - {SHINGLE - 1})), i -> xxhash64(substring(c, i, {SHINGLE})))))))"
-
-
-def _signed(lines: DataFrame) -> DataFrame:
-    """``node, n, b0 .. b3, keys`` of each distinct line: its number of shingles, parity bits, and keys of groups."""
-    s = lines.groupBy("node").agg(F.first("line").alias("line")).selectExpr("node", f"{_hashes('line')} AS h")
-    # sorted hashes fall into quarters by their first two bits
-    s = s.selectExpr("node", "h", "size(h) AS n", "size(filter(h, x -> x < 0)) AS half")
-    s = s.selectExpr("node", "h", "n", "slice(h, 1, half) AS low", "slice(h, half + 1, n - half) AS high", "half")
-    s = s.selectExpr("node", "h", "n", "half", f"size(filter(low, x -> x < {-(1 << 62)})) AS q1", f"half + size(filter(high, x -> x < {1 << 62})) AS q3")
-    ends = ("0", "q1", "half", "q3", "n")
-    bits = [f"aggregate(slice(h, {x} + 1, {y} - {x}), 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT))) AS b{k}" for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False))]
-    place = f"shiftright(shiftrightunsigned({{}}, 48) * {BINS}, 16)"
-    s = s.selectExpr("node", "n", *bits, "h", f"filter(h, (x, i) -> i = 0 OR {place.format('x')} <> {place.format('get(h, i - 1)')}) AS m")
-    two = "zip_with(slice(m, 1, size(m) - 2), slice(m, 2, size(m) - 2), (x, y) -> xxhash64(x, y))"
-    three = f"CASE WHEN size(m) < 3 THEN array(xxhash64(m)) ELSE zip_with({two}, slice(m, 3, size(m) - 2), (x, y) -> xxhash64(x, y)) END"
-    return s.selectExpr("node", "n", "b0", "b1", "b2", "b3", f"CASE WHEN n <= {FEW_SHINGLES} THEN concat({three}, h) ELSE {three} END AS keys")
+    """SQL: the hashes of the shingles of ``line`` in order of place; four bytes a character make each quick to find."""
+    at = f"sequence(1, greatest(1, 4 * length({line}) - {4 * SHINGLE - 4}), 4)"
+    return _let("b", f"encode({line}, 'UTF-32')", f"transform({at}, i -> xxhash64(substring(b, i, {4 * SHINGLE})))")
 
 
-def _may_link(a: str, b: str) -> str:
-    """SQL: the signed lines ``a`` and ``b`` can be similar enough."""
-    apart = " + ".join(f"bit_count({a}.b{k} ^ {b}.b{k})" for k in range(4))
-    return f"100 * least({a}.n, {b}.n) >= {SIMILAR} * greatest({a}.n, {b}.n) AND {100 + SIMILAR} * ({apart}) <= {100 - SIMILAR} * ({a}.n + {b}.n)"
+def _smallest(lines: DataFrame, most: int) -> DataFrame:
+    """``lines`` with ``m``, the ``most`` smallest distinct hashes, sorted."""
+    kept = [c for c in lines.columns if c != "m"]
+    # never null, so that no filter that looks for nulls works them out a second time
+    s = lines.selectExpr(*kept, f"coalesce(sort_array({_hashes('line')}), CAST(array() AS array<bigint>)) AS h")
+    # repeated hashes are few in most lines
+    s = s.selectExpr(*kept, "h", f"array_distinct(slice(h, 1, {most + 16})) AS m")
+    return s.selectExpr(*kept, f"slice(CASE WHEN size(m) < {most} AND size(h) > {most + 16} THEN array_distinct(h) ELSE m END, 1, {most}) AS m")
+
+
+def _keys(signed: DataFrame, run: int) -> DataFrame:
+    """``key, node`` of the groups of each line of ``signed(node, m, n)``: hashes of its runs.
+
+    Lines of few shingles have runs of fewer; where that changes, lines have both. Runs begin at every place, or in lines of
+    many shingles at hashes with one or two low bits of zero. A number stands for a run, its place times 64 and its length.
+    """
+
+    def runs(length: str, of: str = "n") -> str:
+        return f"sequence(64 + {length}, 64 * ({of} - {length} + 1) + {length}, 64)"
+
+    none = "CAST(array() AS array<int>)"
+    parts = [f"CASE WHEN n < 3 THEN {runs('n')} WHEN n IN (4, 5) THEN {runs('2')} ELSE {none} END"]
+    for r in range(3, run):
+        least = 3 if r == 3 else places(r, 1)
+        parts.append(f"CASE WHEN n >= {least} AND n < {-(-100 * places(r + 1, 1) // SIMILAR)} THEN {runs(r)} ELSE {none} END")
+    parts.append(f"CASE WHEN n < {places(run, 1)} THEN {none} ELSE {runs(run)} END")
+    half, quarter = (-(-100 * places(run, x) // SIMILAR) for x in (1 / 2, 1 / 4))
+    rows = signed.selectExpr("node", "m", f"CASE WHEN n < {half} THEN 0 WHEN n < {quarter} THEN 1 ELSE 3 END AS low", f"explode(concat({', '.join(parts)})) AS at")
+    rows = rows.filter("get(m, shiftright(at, 6) - 1) & low = 0")
+    return rows.selectExpr("xxhash64(slice(m, shiftright(at, 6), at & 63)) AS key", "node")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _groups(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of a line with the first and the previous of its groups; ``key, node`` of groups that have more pairs."""
+def _groups(lines: DataFrame, run: int) -> DataFrame:
+    """``node, first, previous, key`` of the lines of each group of two or more; ``key`` is null where these pairs are all."""
+    signed = _smallest(lines.select("node", "line"), places(run, 1 / 4)).selectExpr("node", "m", "size(m) AS n")
+    near = _keys(signed, run)
     w = Window.partitionBy("key")
-    near = signed.selectExpr("node", "explode(array_distinct(keys)) AS key")
     near = near.select("key", "node", F.min("node").over(w).alias("first"), F.lag("node").over(w.orderBy("node")).alias("previous"), F.count("*").over(w).alias("size"))
-    near = cut(near.selectExpr("node", "first", "previous", "CASE WHEN size > 3 THEN key END AS key").filter("previous IS NOT NULL OR key IS NOT NULL"))
-    _release(signed)
-    pairs = near.filter("previous IS NOT NULL").select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "previous"))).alias("b"))
-    pairs = _ordered(pairs)
-    sides = signed.drop("keys")
-    pairs = pairs.join(sides.withColumnRenamed("node", "a").alias("x"), "a").join(sides.withColumnRenamed("node", "b").alias("y"), "b")
-    return cut(pairs.filter(_may_link("x", "y")).select("a", "b")), near.filter("key IS NOT NULL").select("key", "node")
+    return cut(near.filter("size > 1").selectExpr("node", "first", "previous", "CASE WHEN size > 3 THEN key END AS key"))
+
+
+def _candidates(lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """``node, line, m, n`` of the lines in groups: the first SKETCH of its hashes, and how many there are if no more than four times as many."""
+    nodes = cut(groups.select("node").distinct())
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_LINES else nodes
+    found = _smallest(lines.select("node", "line").join(wanted, "node", "left_semi"), 4 * SKETCH)
+    return cut(found.selectExpr("node", "line", f"slice(m, 1, {SKETCH}) AS m", "size(m) AS n"))
+
+
+def _may_link(a: str, b: str) -> str:
+    """SQL: the lines ``a`` and ``b`` can be similar enough. Of the smallest hashes of both, half are common at least:
+    at the threshold fewer are so in 1 of 5,000 pairs, and in none where these are all their hashes."""
+    both = f"slice(sort_array(array_union({a}.m, {b}.m)), 1, {SKETCH})"
+    return f"100 * least({a}.n, {b}.n) >= {SIMILAR} * greatest({a}.n, {b}.n) AND 2 * size(array_intersect({both}, array_intersect({a}.m, {b}.m))) >= size({both})"
+
 
+def _side(found: DataFrame, name: str, *cols: str) -> DataFrame:
+    return found.select(F.col("node").alias(name), *cols)
 
-def _across(groups: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFrame:
+
+def _linked(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines that are similar enough."""
+    p = pairs.join(_side(found, "a", F.col("line").alias("x")), "a").join(_side(found, "b", F.col("line").alias("y")), "b")
+    p = p.selectExpr("a", "b", f"array_distinct({_hashes('x')}) AS x", f"array_distinct({_hashes('y')}) AS y")
+    p = p.selectExpr("a", "b", "size(x) + size(y) AS both", "size(array_intersect(x, y)) AS common")
+    return cut(p.filter(f"100 * common >= {SIMILAR} * (both - common)").select("a", "b"))
+
+
+def _across(groups: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of lines of a group that have different components and can be similar enough."""
-    e = groups.join(labels.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    e = groups.filter("key IS NOT NULL").select("key", "node")
+    e = e.join(labels.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     parts = e.groupBy("key", "part").count()
     lists = parts.groupBy("key").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), F.max_by("part", F.struct("count", "part")).alias("most"))
     lists = lists.filter("parts > 1").select("key", "most", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks"))
-    e = cut(e.join(lists, "key").join(signed.drop("keys"), "node"))
+    e = cut(e.join(lists, "key").join(found.drop("line"), "node"))
     # lines outside of the largest component go to every block of their group, others to one
     x = e.filter("part <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     y = e.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -102,60 +189,59 @@ def _across(groups: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFram
     return _ordered(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    nodes = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_LINES else nodes
-    texts = lines.select("node", "line").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
-    p = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    p = p.selectExpr("a", "b", f"{_hashes('x')} AS x", f"{_hashes('y')} AS y")
-    p = p.selectExpr("a", "b", "size(x) + size(y) AS both", "size(array_intersect(x, y)) AS common")
-    return p.filter(f"100 * common >= {SIMILAR} * (both - common)").select("a", "b")
-
-
 def _release(df: DataFrame) -> None:
     """Let Spark take back the disk of shuffles that nothing refers to any more."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _links(lines: DataFrame) -> DataFrame:
+def _links(table: Table) -> DataFrame:
     """Pairs (a, b) of lines that are similar enough, as many as their components need."""
-    signed = cut(_signed(lines))
-    _release(lines)
-    star, groups = _groups(signed)
-    _release(lines)
-    links = cut(_verified(star, lines))
-    _release(lines)
-    across = cut(_across(groups, signed, components(links)).join(star, ["a", "b"], "left_anti"))
-    return links if across.isEmpty() else links.unionByName(cut(_verified(across, lines)))
+    groups = _groups(table.lines, run_length(table.size))
+    _release(groups)
+    found = _candidates(table.lines, groups)
+    star = groups.filter("previous IS NOT NULL").select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "previous"))).alias("b"))
+    star = _ordered(star).join(_side(found, "a", F.struct("m", "n").alias("x")), "a").join(_side(found, "b", F.struct("m", "n").alias("y")), "b")
+    star = cut(star.filter(_may_link("x", "y")).select("a", "b"))
+    links = _linked(star, found)
+    _release(groups)
+    across = cut(_across(groups, found, components(links)).join(star, ["a", "b"], "left_anti"))
+    return links if across.isEmpty() else links.unionByName(_linked(across, found))
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row, line_nos``: the lines (from 0) that go, for each row that loses any."""
-    lines = _lines(docs, id_col, text_col)
-    labels = components(_links(lines))
+    """``row, line_nos``: the lines (from 0, in order) that go, for each row that loses any."""
+    rows = _rows(docs, id_col, text_col)
+    table = Table(rows)
+    _release(docs)
+    labels = components(_links(table))
+    _release(docs)
+    groups = table.lines.select("node", "hash", "copies").join(labels, "node", "left").filter("label IS NOT NULL OR copies > 1")
+    groups = cut(groups.select("hash", F.coalesce("label", "node").alias("label")))
+    table.delete()
     at = F.struct("id", "row", "line_no")
-    groups = lines.groupBy("node").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    groups = cut(groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    kept = groups.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1").drop("n")
-    repeated = groups.join(kept, "label").select("node", "keep")
-    out = lines.select("id", "row", "line_no", "node").join(repeated, "node").filter(~at.eqNullSafe(F.col("keep")))
-    return out.groupBy("row").agg(F.array_sort(F.array_distinct(F.collect_list("line_no"))).alias("line_nos"))
+    repeated = _split(rows, "id", "row").select("id", "row", "line_no", _pair("line").alias("hash")).join(groups, "hash").drop("hash")
+    repeated = cut(repeated)
+    kept = repeated.groupBy("label").agg(F.min(at).alias("keep"))
+    out = repeated.join(kept, "label").filter(~at.eqNullSafe(F.col("keep")))
+    return cut(out.groupBy("row").agg(F.array_sort(F.array_distinct(F.collect_list("line_no"))).alias("line_nos")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_dropped, text`` for each row: the text without the lines that repeat earlier ones.
 
     Of a component of like lines the one at the smallest (id, position) stays; a null id is the smallest.
-    Lines of fewer than MIN_CHARS characters always stay. A null text has no lines and stays null. Rows
-    equal in id and text are one document: they lose the same lines. An empty table gives none.
+    Lines of ASCII white space alone stay. A null text has no lines and stays null. Rows equal in id and text are one
+    document: they lose the same lines. An empty table gives none. Other columns do not matter.
     """
     out = _with_drops(docs, id_col, text_col)
     return out.select(F.col("_d").getField(id_col).alias("doc_id"), F.coalesce(F.size(F.split(F.col("_d").getField(text_col), "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("line_nos"), F.lit(0)).cast("long").alias("n_dropped"), _left(text_col).alias("text"))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its own columns, repeated lines taken out of the text; ``n_chars`` follows the text if there is one. All rows stay."""
+    """``docs`` with its own columns, repeated lines taken out of the text; ``n_chars`` follows the text if there is one.
+
+    All rows stay, as ``dedup`` has it for nulls, equal rows and empty tables; a text may become empty."""
     out = _with_drops(docs, id_col, text_col).withColumn("_t", _left(text_col))
     cols = [F.col("_t").alias(c) if c == text_col else F.when(F.col("line_nos").isNull(), F.col("_d").getField(c)).otherwise(F.length("_t")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_d").getField(c).alias(c) for c in docs.columns]
     return out.select(*cols)
@@ -164,9 +250,11 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def _with_drops(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     drops = dropped(docs, id_col, text_col)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
-    key = F.xxhash64(F.col("_d").getField(id_col), F.coalesce(F.col("_d").getField(text_col), F.lit("")))
-    return d.withColumn("row", key).join(drops, "row", "left")
+    d = d.select("_d", F.col("_d").getField(id_col).alias("id"), F.coalesce(F.col("_d").getField(text_col), F.lit("")).alias("t"))
+    return d.select("_d", _pair("id", "t").alias("row")).join(drops, "row", "left")
 
 
 def _left(text_col: str) -> Column:
-    return F.expr(f"CASE WHEN line_nos IS NULL THEN _d.`{text_col}` ELSE array_join(filter(split(_d.`{text_col}`, '\\n'), (l, i) -> NOT array_contains(line_nos, i)), '\\n') END")
+    others = "array_except(sequence(0, size(l) - 1), line_nos)"
+    left = _let("l", f"split(_d.`{text_col}`, '\\n')", f"array_join(transform({others}, i -> get(l, i)), '\\n')")
+    return F.expr(f"CASE WHEN line_nos IS NULL THEN _d.`{text_col}` ELSE {left} END")

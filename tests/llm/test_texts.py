@@ -178,7 +178,7 @@ def test_lines(spark, docs, rows, empty):
     texts = ["\n".join(base), "\n".join(x.replace("speaks", "spoke") for x in base) + "\nshort", base[3] + "\nshort\n" + base[3], None, ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in lines.dedup(df).collect()}
-    assert got[0]["text"] == texts[0] and got[1]["text"] == "short" and got[2]["text"] == "short"
+    assert got[0]["text"] == texts[0] and got[1]["text"] == "short" and got[2]["text"] == "" and got[2]["n_dropped"] == 3
     assert got[3]["text"] is None and got[3]["n_lines"] == 0 and got[4]["text"] == ""
     assert lines.dedup(empty).count() == 0
     out = lines.clean(docs)
