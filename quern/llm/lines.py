@@ -29,10 +29,12 @@ from quern.session import checkpoint_dir, cut
 MIN_CHARS = 1  # characters other than white space that a line needs to take part
 SHINGLE = 5  # characters, for the exact similarity
 SIMILAR = 80  # hundredths
-RECALL = 0.995  # of pairs at the threshold
+RECALL = 0.99  # of pairs at the threshold
 CHANCE = 20  # a run is one longer for each such factor in the number of distinct lines
+FEWEST = 8  # in lines of many shingles a run begins at one of so many hashes
 SKETCH = 24  # smallest hashes by which pairs are ruled out
 BROADCAST_LINES = 500_000  # numbers of candidate lines, 8 bytes each, that may go to every executor; more are joined by shuffle
+BROADCAST_BYTES = 16 << 20  # of numbers of lines that go; more are joined by shuffle
 LIST_BLOCK = 4096  # lines of a group that one task compares with the lines of other components
 BLANK = "\\u0020\\u0009\\u000b\\u000c\\u000d"  # ASCII white space within a line, in SQL
 
@@ -115,7 +117,7 @@ def _keys(signed: DataFrame, run: int) -> DataFrame:
     """``key, node`` of the groups of each line of ``signed(node, m, n)``: hashes of its runs.
 
     Lines of few shingles have runs of fewer; where that changes, lines have both. Runs begin at every place, or in lines of
-    many shingles at hashes with one or two low bits of zero. A number stands for a run, its place times 64 and its length.
+    many shingles at hashes with one to three low bits of zero. A number stands for a run, its place times 64 and its length.
     """
 
     def runs(length: str, of: str = "n") -> str:
@@ -127,8 +129,8 @@ def _keys(signed: DataFrame, run: int) -> DataFrame:
         least = 3 if r == 3 else places(r, 1)
         parts.append(f"CASE WHEN n >= {least} AND n < {-(-100 * places(r + 1, 1) // SIMILAR)} THEN {runs(r)} ELSE {none} END")
     parts.append(f"CASE WHEN n < {places(run, 1)} THEN {none} ELSE {runs(run)} END")
-    half, quarter = (-(-100 * places(run, x) // SIMILAR) for x in (1 / 2, 1 / 4))
-    rows = signed.selectExpr("node", "m", f"CASE WHEN n < {half} THEN 0 WHEN n < {quarter} THEN 1 ELSE 3 END AS low", f"explode(concat({', '.join(parts)})) AS at")
+    low = " ".join(f"WHEN n < {-(-100 * places(run, 1 / (2 * k)) // SIMILAR)} THEN {k - 1}" for k in (1, 2, 4))
+    rows = signed.selectExpr("node", "m", f"CASE {low} ELSE {FEWEST - 1} END AS low", f"explode(concat({', '.join(parts)})) AS at")
     rows = rows.filter("get(m, shiftright(at, 6) - 1) & low = 0")
     return rows.selectExpr("xxhash64(slice(m, shiftright(at, 6), at & 63)) AS key", "node")
 
@@ -139,7 +141,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _groups(lines: DataFrame, run: int) -> DataFrame:
     """``node, first, previous, key`` of the lines of each group of two or more; ``key`` is null where these pairs are all."""
-    signed = _smallest(lines.select("node", "line"), places(run, 1 / 4)).selectExpr("node", "m", "size(m) AS n")
+    signed = _smallest(lines.select("node", "line"), places(run, 1 / FEWEST)).selectExpr("node", "m", "size(m) AS n")
     near = _keys(signed, run)
     w = Window.partitionBy("key")
     near = near.select("key", "node", F.min("node").over(w).alias("first"), F.lag("node").over(w.orderBy("node")).alias("previous"), F.count("*").over(w).alias("size"))
@@ -195,18 +197,26 @@ def _release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _links(table: Table) -> DataFrame:
-    """Pairs (a, b) of lines that are similar enough, as many as their components need."""
+def _labels(table: Table) -> DataFrame:
+    """``node, label`` of the lines that have links: the label is the same in a component."""
     groups = _groups(table.lines, run_length(table.size))
     _release(groups)
     found = _candidates(table.lines, groups)
     star = groups.filter("previous IS NOT NULL").select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "previous"))).alias("b"))
     star = _ordered(star).join(_side(found, "a", F.struct("m", "n").alias("x")), "a").join(_side(found, "b", F.struct("m", "n").alias("y")), "b")
     star = cut(star.filter(_may_link("x", "y")).select("a", "b"))
-    links = _linked(star, found)
+    labels = components(_linked(star, found))
     _release(groups)
-    across = cut(_across(groups, found, components(links)).join(star, ["a", "b"], "left_anti"))
-    return links if across.isEmpty() else links.unionByName(_linked(across, found))
+    across = cut(_across(groups, found, labels).join(star, ["a", "b"], "left_anti"))
+    if across.isEmpty():
+        return labels
+    # links between components join their labels; a line without a component is its own
+    links = _linked(across, found)
+    for side in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(side), F.col("label").alias("of")), side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+    joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    known = labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return known.unionByName(joined.join(labels.select("node"), F.col("label") == F.col("node"), "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label")))
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +224,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = _rows(docs, id_col, text_col)
     table = Table(rows)
     _release(docs)
-    labels = components(_links(table))
+    labels = cut(_labels(table))
     _release(docs)
     groups = table.lines.select("node", "hash", "copies").join(labels, "node", "left").filter("label IS NOT NULL OR copies > 1")
     groups = cut(groups.select("hash", F.coalesce("label", "node").alias("label")))
@@ -249,9 +259,11 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def _with_drops(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     drops = dropped(docs, id_col, text_col)
+    size = drops.agg(F.coalesce(F.sum(40 + 4 * F.size("line_nos")), F.lit(0))).first()[0]
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
     d = d.select("_d", F.col("_d").getField(id_col).alias("id"), F.coalesce(F.col("_d").getField(text_col), F.lit("")).alias("t"))
-    return d.select("_d", _pair("id", "t").alias("row")).join(drops, "row", "left")
+    d = d.select("_d", _pair("id", "t").alias("row"))
+    return d.join(F.broadcast(drops) if size <= BROADCAST_BYTES else drops, "row", "left")
 
 
 def _left(text_col: str) -> Column:
