@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scan": licenses.scan_sql()}
+    return {"op6_quality_rules": rules.quality_sql(), "op9_license_scan": licenses.scan_sql()}
