@@ -302,3 +302,63 @@ def test_one_row_of_each_component(spark, same):
     rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, ""), (3, ""), (4, None), (5, "x y"), (5, "z w v")]
     got = jaccard.one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     same([tuple("" if x is None and k else x for k, x in enumerate(r)) for r in got], [(1, a), (None, b), (3, ""), (3, ""), (4, ""), (5, "x y"), (5, "z w v")])
+
+
+def test_rules_equal_sql_on_odd_texts(spark, docs):
+    """All columns, ``kept`` among them, against the SQL, with texts that begin and end in letters and blanks of all kinds."""
+    import duckdb
+
+    furniture = ["Mentions légales | Plan du site", "HOME", "Home > Menu > Search\r", "see https://a.b and https://c.d", "Buy now!! Buy!! Now!!", "this is a line of prose that does not end", "It ends here. \t\r", "all Rights Reserved."]
+    body = "The quick brown fox jumps over the lazy dog, and then it goes on to sleep in the sun."
+    odd = ["f g h", "a b f", "\x0cfoo bar\x0c", "\x0ca b", "\x0b\x0bF f\x0b", "find the way home now and go quickly find the way home now and go quickly", "\r\n", "\t", "x\x1fy z"]
+    odd += [f"{body}\n{x}\n{body.upper()}\n\n{x}" for x in furniture] + ["\n".join(furniture * 3)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(odd, 20_000)), "doc_id long, text string"))
+    df = df.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    con = duckdb.connect()
+    arrow_rows = df.toArrow()  # noqa: F841
+    con.sql("CREATE TABLE documents AS FROM arrow_rows")
+    expected = con.sql(rules.quality_sql())
+    got = rules.quality(df)
+    assert got.columns == expected.columns
+    assert sorted(map(tuple, got.collect())) == sorted(expected.fetchall())
+    assert {r["n_words"] for r in got.filter("doc_id IN (20000, 20001)").collect()} == {3}
+    kept = {r["doc_id"]: r["left_chars"] < r["word_chars"] for r in got.filter("doc_id BETWEEN 20009 AND 20016").collect()}
+    assert kept == {20009 + k: k != 6 for k in range(8)}
+
+
+def test_lm_by_plain_arithmetic(spark, lower, monkeypatch):
+    """The score of each text from the fitted weights, one word at a time."""
+    rng = np.random.default_rng(3)
+    names = [f"{'abcdefg'[k % 7]}{k}{'xyz'[k % 3]}" for k in range(400)]
+    texts = [None, "", "Never seen"] + [" ".join(names[int(k) % 400] for k in rng.zipf(1.3, rng.integers(1, 40))) for _ in range(60)]
+    kept = []
+    train = language.train
+    monkeypatch.setattr(language, "train", lambda *a, **k: kept.append(train(*a, **k)) or kept[0])
+    got = {r["doc_id"]: r["score"] for r in language.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds=4).collect()}
+    w = kept[0][0]
+    words = [[*(x.encode() for x in SPACE.findall(lower(t))), b""] for t in texts]
+    count = collections.Counter(x for k, own in enumerate(words) if zlib.crc32(str(k).encode()) % 7 != 2 for x in own)
+    frequent = [b"", *sorted((x for x in count if x), key=lambda x: (-count[x], x))[: language.FREQUENT - 1]]
+    unit = lambda x: frequent.index(x) if x in frequent else language.ending(x)
+    tokens, types = collections.Counter(), collections.Counter()
+    for x, n in count.items():
+        tokens[unit(x)] += n
+        types[unit(x)] += 1
+    for k, own in enumerate(words):
+        u1 = u2 = unit(b"")
+        total = 0.0
+        for x in own:
+            u = unit(x)
+            log_c, log_m = w.log_p(u1)
+            c, m = divmod(u, language.UNITS // language.CLASSES)
+            total += (log_c[u2, c] + log_m[u2, c, m]) / math.log(10) + math.log10((count[x] + 1) / (tokens[u] + types[u] + 1))
+            u1, u2 = u, u1
+        assert abs(got[k] - total) < 1e-3 * max(1, len(own))
+
+
+def test_lm_gains_on_held_out_texts(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = language.score(docs).filter("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert (r[2] - r[1]) / r[0] > 0.2  # log10 a token, of about 4.1
