@@ -7,8 +7,8 @@ chance meetings stay few, and the length of the list follows from it, so that RE
 a run (see ``places``). Lines of few shingles are listed by their whole sets with runs of three, which no pair of them
 that is similar enough can miss.
 
-Each line is paired with the first and with the previous line of each run it shares. Pairs are ruled out by their
-signatures and verified by the exact Jaccard similarity of all their character shingles, and linked lines fall into
+Each line is paired with the first line of each run it shares. Most unlike pairs are ruled out by 64 bits of their
+signatures, others are verified by the exact Jaccard similarity of all their character shingles, and linked lines fall into
 components by distributed union-find. Then lines of a run that still lie in different components are compared, in
 large groups in blocks, so no differing pair of a group stays unexamined. Of each component the first line stays.
 Equal lines need no candidates. Only SQL functions are used; shingles are compared by 64-bit hashes, lines by their
@@ -32,7 +32,7 @@ SIMILAR = 80  # hundredths
 RECALL = 0.99  # of pairs at the threshold
 CHANCE = 20  # a run is one longer for each such factor in the number of distinct lines
 FEWEST = 8  # in lines of many shingles a run begins at one of so many hashes
-SKETCH = 24  # smallest hashes by which pairs are ruled out
+SIGNED, BITS_APART = 48, 18  # smallest hashes whose bits rule out pairs, and how many may differ
 BROADCAST_LINES = 500_000  # numbers of candidate lines, 8 bytes each, that may go to every executor; more are joined by shuffle
 BROADCAST_BYTES = 16 << 20  # of numbers of lines that go; more are joined by shuffle
 LIST_BLOCK = 4096  # lines of a group that one task compares with the lines of other components
@@ -114,7 +114,7 @@ def _smallest(lines: DataFrame, most: int) -> DataFrame:
 
 
 def _keys(signed: DataFrame, run: int) -> DataFrame:
-    """``key, node`` of the groups of each line of ``signed(node, m, n)``: hashes of its runs.
+    """``key, node, sig`` of the groups of each line of ``signed(node, m, n, sig)``: hashes of its runs.
 
     Lines of few shingles have runs of fewer; where that changes, lines have both. Runs begin at every place, or in lines of
     many shingles at hashes with one to three low bits of zero. A number stands for a run, its place times 64 and its length.
@@ -130,9 +130,9 @@ def _keys(signed: DataFrame, run: int) -> DataFrame:
         parts.append(f"CASE WHEN n >= {least} AND n < {-(-100 * places(r + 1, 1) // SIMILAR)} THEN {runs(r)} ELSE {none} END")
     parts.append(f"CASE WHEN n < {places(run, 1)} THEN {none} ELSE {runs(run)} END")
     low = " ".join(f"WHEN n < {-(-100 * places(run, 1 / (2 * k)) // SIMILAR)} THEN {k - 1}" for k in (1, 2, 4))
-    rows = signed.selectExpr("node", "m", f"CASE {low} ELSE {FEWEST - 1} END AS low", f"explode(concat({', '.join(parts)})) AS at")
+    rows = signed.selectExpr("node", "sig", "m", f"CASE {low} ELSE {FEWEST - 1} END AS low", f"explode(concat({', '.join(parts)})) AS at")
     rows = rows.filter("get(m, shiftright(at, 6) - 1) & low = 0")
-    return rows.selectExpr("xxhash64(slice(m, shiftright(at, 6), at & 63)) AS key", "node")
+    return rows.selectExpr("xxhash64(slice(m, shiftright(at, 6), at & 63)) AS key", "node", "sig")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -140,54 +140,58 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _groups(lines: DataFrame, run: int) -> DataFrame:
-    """``node, first, previous, key`` of the lines of each group of two or more; ``key`` is null where these pairs are all."""
-    signed = _smallest(lines.select("node", "line"), places(run, 1 / FEWEST)).selectExpr("node", "m", "size(m) AS n")
-    near = _keys(signed, run)
+    """``node, sig, first, key`` of the lines of each group of two or more: ``first`` if that line of the group can be
+    similar enough, ``key`` where the group has more pairs."""
+    signed = _smallest(lines.select("node", "line"), places(run, 1 / FEWEST))
+    # bits of the smallest hashes
+    sig = f"aggregate(slice(m, 1, {SIGNED}), 0L, (a, x) -> a | shiftleft(1L, CAST(x & 63 AS INT)))"
+    near = _keys(signed.selectExpr("node", "m", "size(m) AS n", f"{sig} AS sig"), run)
     w = Window.partitionBy("key")
-    near = near.select("key", "node", F.min("node").over(w).alias("first"), F.lag("node").over(w.orderBy("node")).alias("previous"), F.count("*").over(w).alias("size"))
-    return cut(near.filter("size > 1").selectExpr("node", "first", "previous", "CASE WHEN size > 3 THEN key END AS key"))
+    first = [F.first(c).over(w.orderBy("node")).alias(name) for c, name in (("node", "first"), ("sig", "first_sig"))]
+    near = near.select("key", "node", "sig", *first, F.count("*").over(w).alias("size")).filter("size > 1")
+    near = near.selectExpr("node", "sig", f"CASE WHEN node <> first AND {_may_link('sig', 'first_sig')} THEN first END AS first", "CASE WHEN size > 2 THEN key END AS key")
+    return cut(near.filter("first IS NOT NULL OR key IS NOT NULL"))
 
 
-def _candidates(lines: DataFrame, groups: DataFrame) -> DataFrame:
-    """``node, line, m, n`` of the lines in groups: the first SKETCH of its hashes, and how many there are if no more than four times as many."""
-    nodes = cut(groups.select("node").distinct())
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_LINES else nodes
-    found = _smallest(lines.select("node", "line").join(wanted, "node", "left_semi"), 4 * SKETCH)
-    return cut(found.selectExpr("node", "line", f"slice(m, 1, {SKETCH}) AS m", "size(m) AS n"))
+def _may_link(a: str, b: str) -> str:
+    """SQL: lines with the bits ``a`` and ``b`` can be similar enough. In a simulation 7 of 10,000 pairs at the threshold differ
+    in more bits, none where the bits are of all their hashes."""
+    return f"bit_count({a} ^ {b}) <= {BITS_APART}"
 
 
-def _may_link(a: str, b: str) -> str:
-    """SQL: the lines ``a`` and ``b`` can be similar enough. Of the smallest hashes of both, half are common at least:
-    at the threshold fewer are so in 1 of 5,000 pairs, and in none where these are all their hashes."""
-    both = f"slice(sort_array(array_union({a}.m, {b}.m)), 1, {SKETCH})"
-    return f"100 * least({a}.n, {b}.n) >= {SIMILAR} * greatest({a}.n, {b}.n) AND 2 * size(array_intersect({both}, array_intersect({a}.m, {b}.m))) >= size({both})"
+def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node, line`` of the lines in pairs (a, b)."""
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_LINES else nodes
+    return cut(lines.select("node", "line").join(wanted, "node", "left_semi"))
 
 
 def _side(found: DataFrame, name: str, *cols: str) -> DataFrame:
     return found.select(F.col("node").alias(name), *cols)
 
 
-def _linked(pairs: DataFrame, found: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines that are similar enough."""
-    p = pairs.join(_side(found, "a", F.col("line").alias("x")), "a").join(_side(found, "b", F.col("line").alias("y")), "b")
+    texts = _texts(lines, pairs)
+    p = pairs.join(_side(texts, "a", F.col("line").alias("x")), "a").join(_side(texts, "b", F.col("line").alias("y")), "b")
     p = p.selectExpr("a", "b", f"array_distinct({_hashes('x')}) AS x", f"array_distinct({_hashes('y')}) AS y")
     p = p.selectExpr("a", "b", "size(x) + size(y) AS both", "size(array_intersect(x, y)) AS common")
     return cut(p.filter(f"100 * common >= {SIMILAR} * (both - common)").select("a", "b"))
 
 
-def _across(groups: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
+def _across(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of lines of a group that have different components and can be similar enough."""
-    e = groups.filter("key IS NOT NULL").select("key", "node")
+    e = groups.filter("key IS NOT NULL").select("key", "node", "sig")
     e = e.join(labels.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     parts = e.groupBy("key", "part").count()
     lists = parts.groupBy("key").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), F.max_by("part", F.struct("count", "part")).alias("most"))
     lists = lists.filter("parts > 1").select("key", "most", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks"))
-    e = cut(e.join(lists, "key").join(found.drop("line"), "node"))
+    e = cut(e.join(lists, "key"))
     # lines outside of the largest component go to every block of their group, others to one
     x = e.filter("part <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     y = e.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     both = "x.key = y.key AND x.block = y.block AND x.part <> y.part AND (y.part = y.most OR x.node < y.node)"
-    pairs = x.alias("x").join(y.alias("y"), F.expr(f"{both} AND {_may_link('x', 'y')}"))
+    pairs = x.alias("x").join(y.alias("y"), F.expr(f"{both} AND {_may_link('x.sig', 'y.sig')}"))
     return _ordered(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
@@ -201,17 +205,14 @@ def _labels(table: Table) -> DataFrame:
     """``node, label`` of the lines that have links: the label is the same in a component."""
     groups = _groups(table.lines, run_length(table.size))
     _release(groups)
-    found = _candidates(table.lines, groups)
-    star = groups.filter("previous IS NOT NULL").select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "previous"))).alias("b"))
-    star = _ordered(star).join(_side(found, "a", F.struct("m", "n").alias("x")), "a").join(_side(found, "b", F.struct("m", "n").alias("y")), "b")
-    star = cut(star.filter(_may_link("x", "y")).select("a", "b"))
-    labels = components(_linked(star, found))
+    star = cut(_ordered(groups.filter("first IS NOT NULL").select(F.col("node").alias("a"), F.col("first").alias("b"))))
+    labels = components(_linked(star, table.lines))
     _release(groups)
-    across = cut(_across(groups, found, labels).join(star, ["a", "b"], "left_anti"))
+    across = cut(_across(groups, labels).join(star, ["a", "b"], "left_anti"))
     if across.isEmpty():
         return labels
     # links between components join their labels; a line without a component is its own
-    links = _linked(across, found)
+    links = _linked(across, table.lines)
     for side in ("a", "b"):
         links = links.join(labels.select(F.col("node").alias(side), F.col("label").alias("of")), side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
     joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
