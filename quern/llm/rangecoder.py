@@ -23,6 +23,7 @@ STEPS_LEAST = 64  # a short block has fewer lanes rather than fewer steps
 ORDER_1, ORDER_2 = 1 << 16, 1 << 18  # contexts, by hash
 TOP = 16  # levels of confidence, in four bits
 GAIN = 32  # what one occurrence adds to an id's share
+MOST_ODDS = 63  # of a hit
 MAGIC = b"QRC1"
 HEAD = struct.Struct("<4sIIIII")  # magic, ids, lanes, alphabet, crc32 of the ids, crc32 of the payload
 
@@ -35,6 +36,9 @@ class Model:
     """Shares of the next ids in all lanes."""
 
     def __init__(self, lanes: int, alphabet: int):
+        # all shares together, of order 0 and of two guesses, must leave a range of 32 bits at least a unit
+        if (1 + 2 * MOST_ODDS) * (alphabet + GAIN * BLOCK) >= 1 << 32:
+            raise ValueError("too large an alphabet")
         self.alphabet = alphabet
         self.counts = np.zeros(alphabet, np.int64)
         self.recent: list[np.ndarray] = []
@@ -52,9 +56,10 @@ class Model:
             self.recent = []
         self.freq = 1 + GAIN * self.counts
         self.cum = np.concatenate([[0], np.cumsum(self.freq)])
+        self.cum32 = self.cum.astype(np.int32)
         self.total = int(self.cum[-1])
-        # odds of a hit, as shares beside the total of order 0; no more than 64 times that total
-        self.add = [np.minimum(self.total * r[1::2] // np.maximum(r[0::2], 1), 64 * self.total) for r in self.record]
+        # odds of a hit, as shares beside the total of order 0
+        self.add = [np.minimum(self.total * r[1::2] // np.maximum(r[0::2], 1), MOST_ODDS * self.total) for r in self.record]
 
     def predict(self) -> None:
         at1 = self.prev & (ORDER_1 - 1)
@@ -80,10 +85,14 @@ class Model:
         swap = p2 < p1
         a, b = np.where(swap, p2, p1), np.where(swap, p1, p2)
         ma, mb = np.where(swap, m2, m1), np.where(swap, m1, m2)
-        rest = v - ma
-        x = np.where(rest < cum[b], rest, np.where(rest < cum[b + 1] + mb, cum[b], rest - mb))
-        x = np.where(v < cum[a], v, np.where(v < cum[a + 1] + ma, cum[a], x))
-        return np.searchsorted(cum, x, "right") - 1
+        # the lower guess, with a share added, then the higher one; a place beyond a share is as far beyond in the shares of order 0
+        first, second = cum[a + 1] + ma, cum[b + 1] + ma + mb
+        x = v - np.where(v < first, 0, ma) - np.where(v < second, 0, mb)
+        ids = np.where((v < first) & (v >= cum[a]), a, b)
+        other = np.flatnonzero((v < cum[a]) | (v >= first) & ((v < cum[b] + ma) | (v >= second)))
+        # these are not guessed; sums of order 0 stay below 2**31
+        ids[other] = np.searchsorted(self.cum32, x[other].astype(np.int32), "right") - 1
+        return ids.astype(np.int64)
 
     def learn(self, ids: np.ndarray) -> None:
         small = ids.astype(np.int32)
