@@ -11,6 +11,7 @@ from quern.functions import scalar
 from quern.operators import countmin, kmeans, relational, special, transform, wordcount
 from quern.plans import predicates
 from quern.plans.job import Job, run_generic
+from quern.session import cut
 from quern.streaming import continuous
 from quern.tables import get, latest, table
 
@@ -142,7 +143,7 @@ _KMEANS_SQL = f"""
 
 
 def _assigned(spark, sf_dir):
-    vectors = wordcount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text")
+    vectors = cut(wordcount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text"))  # read five times
     return vectors, kmeans.assign(vectors, kmeans.seeds(vectors, 3))
 
 
@@ -420,8 +421,16 @@ def stream_count_min(spark, sf_dir):
 
 @_query("stream_kmeans", _KMEANS_SQL + " SELECT cluster, word, CAST(sum(n) AS BIGINT) AS total FROM v JOIN a USING (doc_id) GROUP BY cluster, word")
 def stream_kmeans(spark, sf_dir):
-    vectors = wordcount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return continuous.finish(continuous.k_means_sums(continuous.source(spark, f"{sf_dir}/documents.parquet"), kmeans.seeds(vectors, 3)))
+    seeds = cut(kmeans.seeds(wordcount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text"), 3))
+    sums = continuous.k_means_sums(continuous.source(spark, f"{sf_dir}/documents.parquet"), seeds).finish()
+    return sums.filter("word IS NOT NULL")
+
+
+@_query("stream_generic", _COUNT_SQL)
+def stream_generic(spark, sf_dir):
+    feed = continuous.source(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    job = Job("words", [], "out", mapper=_map_words, combiner=_add, reducer=_add, key="doc_id")
+    return continuous.map_reduce(feed, job).finish().select(F.col("key").alias("word"), F.col("value").cast("bigint").alias("n"))
 
 
 @_query("stream_time_window", "SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -433,14 +442,27 @@ def stream_time_window(spark, sf_dir):
 @_query("stream_latest", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND event_type <> 'error'")
 def stream_latest(spark, sf_dir):
     feed = continuous.source(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", F.when(F.col("event_type") == "error", "REMOVED").otherwise("MODIFIED").alias("op"))
-    last = feed.groupBy(F.col("user_id").alias("k")).agg(F.max_by(F.struct("user_id", "event_id", "op"), F.col("event_id")).alias("r"))
-    return continuous.finish(last).select("r.*").filter("op <> 'REMOVED'").select("user_id", "event_id")
+    last = continuous.finish(continuous.latest_rows(feed, "user_id", "event_id"))
+    return last.filter("op <> 'REMOVED'").select("user_id", "event_id")
+
+
+_WINDOWS_SQL = """
+    WITH RECURSIVE e AS (SELECT event_type AS g, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, CAST(user_id AS VARCHAR) AS k, value AS v FROM events),
+    s(g, i, win, m, keys, total) AS (
+        SELECT DISTINCT g, 0::BIGINT, 0::BIGINT, MAP {}::MAP(VARCHAR, DOUBLE), NULL::BIGINT, NULL::DOUBLE FROM e
+        UNION ALL
+        SELECT g, i, win + (full_one)::BIGINT, CASE WHEN full_one THEN MAP {}::MAP(VARCHAR, DOUBLE) ELSE n END,
+               CASE WHEN full_one THEN cardinality(n)::BIGINT END, CASE WHEN full_one THEN list_sum(map_values(n)) END
+        FROM (SELECT g, i, win, n, cardinality(n) >= 10 AS full_one FROM (SELECT s.g, e.i, s.win, map_concat(s.m, MAP {e.k: e.v}) AS n FROM s JOIN e ON e.g = s.g AND e.i = s.i + 1))),
+    last AS (SELECT g, win, cardinality(m)::BIGINT AS keys, list_sum(map_values(m)) AS total FROM s WHERE cardinality(m) > 0 AND i = (SELECT max(i) FROM e WHERE e.g = s.g))
+    SELECT g AS "group", win - 1 AS "window", keys, round(total, 4) AS total FROM s WHERE keys IS NOT NULL
+    UNION ALL SELECT g, win, keys, round(total, 4) FROM last"""
 
 
-@_query("stream_count_window")
+@_query("stream_count_window", _WINDOWS_SQL)
 def stream_count_window(spark, sf_dir):
     feed = continuous.source(spark, f"{sf_dir}/events.parquet").withColumn("seq", F.col("event_id"))
-    return continuous.finish(continuous.count_window(feed, "event_type", "user_id", "value", 10), "append")
+    return continuous.CountWindows(feed, "event_type", "user_id", "value", 10).finish().withColumn("total", F.round("total", 4))
 
 
 # --- jobs and graphs -----------------------------------------------------------------------------

@@ -15,10 +15,15 @@ def substr(c: Column, start: int, length: int) -> Column:
 
 
 def java_hash(word: Column) -> Column:
-    """String.hashCode of Java over code points, as a signed number; as Java's for text without surrogate pairs."""
+    """String.hashCode of Java, as a signed number. Java's characters are UTF-16 units, two for those beyond the basic plane."""
     # ascii() has the code point of the first character
     codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    def add(a: Column, c: Column) -> Column:
+        high, low = F.shiftright(c - 0x10000, 10) + 0xD800, (c - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        return F.when(c > 0xFFFF, (a * 31 + high) * 31 + low).otherwise(a * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    h = F.aggregate(codes, F.lit(0).cast("long"), add)
     return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
 
 
@@ -34,8 +39,18 @@ def random_next(s: Column) -> Column:
     return (F.shiftleft(high.bitwiseAND(F.lit((1 << 24) - 1)), 24) + low + 11).bitwiseAND(F.lit(MASK48))
 
 
+def random_accepted(s: Column, w: int) -> Column:
+    """The state from which nextInt(w) takes its number: where w is not a power of two, Java draws again in about w of 2**31 cases.
+
+    Two draws more are looked at; to need a third has a chance of about (w / 2**31)**3."""
+    for _ in range(2 if w & (w - 1) else 0):
+        bits = F.shiftright(s, 17)
+        s = F.when(bits - bits % w + (w - 1) >= 1 << 31, random_next(s)).otherwise(s)
+    return s
+
+
 def random_below(s: Column, w: int) -> Column:
-    """nextInt(w) for a state. Java draws again in about w of 2**31 cases where w is not a power of two; this does not."""
+    """nextInt(w) for an accepted state."""
     bits = F.shiftright(s, 17)
     return (F.shiftright(bits * w, 31) if w & (w - 1) == 0 else bits % w).cast("int")
 
@@ -60,7 +75,7 @@ def millis_text(c: Column) -> Column:
 
 
 def restore_columns(df: DataFrame) -> DataFrame:
-    """Columns whose names end in ``uri`` or ``fqdnurl`` restored as addresses, in ``ts`` shown as dates; values that do not parse stay."""
+    """Columns whose names end in ``uri`` or ``fqdnurl`` restored as addresses, in ``ts`` shown as dates; dates that do not parse stay, addresses become an empty text."""
     out = []
     for c in df.columns:
         name = c.lower()
@@ -85,8 +100,8 @@ def merge_counts(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, zero) + F.coalesce(y, zero))
 
 
-#: Fields of crawled pages and the columns they become.
-PAGE_COLUMNS = {"key": "url", "content": "body"}
+#: Fields of crawled pages and the columns they become.
+PAGE_COLUMNS = {"key": "url", "content": "body", "headers": "headers", "fetchInterval": "responseTime", "contentType": "charset", "outlinks": "links", "fetchTime": "published"}
 
 
 def map_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:

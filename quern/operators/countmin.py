@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.scalar import java_hash, random_below, random_next, random_seed
+from quern.functions.scalar import java_hash, random_accepted, random_below, random_next, random_seed
 from quern.operators.wordcount import words
 
 
@@ -22,6 +22,7 @@ def with_cells(df: DataFrame, w: int, d: int, word_col: str = "word") -> DataFra
     cells = []
     for i in range(d):
         df = df.withColumn(f"_s{i}", random_next(F.col(f"_s{i - 1}" if i else "_s")))
+        df = df.withColumn(f"_s{i}", random_accepted(F.col(f"_s{i}"), w))
         cells.append(F.struct(F.lit(i).alias("row"), random_below(F.col(f"_s{i}"), w).alias("col")))
     out = df.withColumn("_c", F.explode(F.array(*cells)))
     return out.select(*[c for c in df.columns if not c.startswith("_s")], "_c.row", "_c.col")

@@ -21,11 +21,11 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import countmin, kmeans, wordcount
-from quern.session import ship
+from quern.session import checkpoint_dir, ship
 
 Emit = Iterator[tuple[str, Any]]
 BUFFER = 100_000  # values that a map task holds before it combines
@@ -52,6 +52,7 @@ class Job:
     scheduling: list[str] = field(default_factory=list)  # input sites; none: all
     key: str = "key"
     site: str | None = None  # column of the site
+    modules: list[str] = field(default_factory=list)  # files with user functions' code, sent to the executors
     on_error: str = "fail"  # or "skip": records that raise are left out and counted
 
 
@@ -129,18 +130,26 @@ def _reduce(pairs: DataFrame, reducer: Callable, by: list[str]) -> DataFrame:
     return pairs.select(*by, "value").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
-def run_generic(df: DataFrame, job: Job) -> DataFrame:
-    """``key, value`` (JSON text) that the reducer emits; without a reducer, what was emitted before it."""
+def local_stage(df: DataFrame, job: Job) -> DataFrame:
+    """``key, value`` (JSON text) of the sites that the job names, mapped, combined and reduced by site."""
     if job.scheduling and job.site:
         df = df.filter(F.col(job.site).cast("string").isin(job.scheduling))
     pairs = map_stage(df, job)
     if job.local_reducer:
         pairs = _reduce(pairs, job.local_reducer, ["site", "key"])
-    if job.reducer:
-        return _reduce(pairs.select("key", "value"), job.reducer, ["key"])
     return pairs.select("key", "value")
 
 
+def reduce_stage(pairs: DataFrame, job: Job) -> DataFrame:
+    """``key, value`` that the reducer emits; without a reducer the pairs themselves."""
+    return _reduce(pairs, job.reducer, ["key"]) if job.reducer else pairs
+
+
+def run_generic(df: DataFrame, job: Job) -> DataFrame:
+    """``key, value`` (JSON text) that the reducer emits; without a reducer, what was emitted before it."""
+    return reduce_stage(local_stage(df, job), job)
+
+
 def _word_count(df: DataFrame, conf: dict) -> DataFrame:
     return wordcount.word_count(df, *conf.get("columns", ["text"]))
 
@@ -167,25 +176,41 @@ class Engine:
         self.spark = spark
         self.states: dict[str, tuple[State, str]] = {}
         self.seconds: dict[str, float] = {}
+        self.rows: dict[str, int] = {}  # of results
 
     def submit(self, job: Job) -> str:
-        """Run a job and make its result the temp view ``job.output``; returns its id. A failure is kept as the state."""
+        """Run a job, and make its result, written beside the checkpoints, the temp view ``job.output``; returns its id.
+
+        The state is COMPLETED when the result is there; a failure, also of a user function, is kept as the state.
+        """
         job_id = uuid.uuid4().hex
         began = time.time()
         self.states[job_id] = (State.RUNNING, "")
         try:
+            for path in job.modules:
+                self.spark.sparkContext.addPyFile(path)
             df = self.spark.table(job.inputs[0])
             for name in job.inputs[1:]:
                 df = df.unionByName(self.spark.table(name))
             known = BUILTIN.get(job.builtin) or BUILTIN.get(job.name)
             out = known(df, job.configuration) if known else run_generic(df, job)
-            out.createOrReplaceTempView(job.output)
+            folder = f"{checkpoint_dir(self.spark)}/job-{job_id}"
+            rows = Observation(f"job-{job_id}")
+            out.observe(rows, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
+            self.spark.read.schema(out.schema).parquet(folder).createOrReplaceTempView(job.output)
+            self.rows[job_id] = rows.get["rows"]
             self.states[job_id] = (State.COMPLETED, "")
         except Exception as e:
             self.states[job_id] = (State.FAILED, str(e))
         self.seconds[job_id] = time.time() - began
         return job_id
 
+    def progress(self) -> dict[str, float]:
+        """Done share of the tasks of each stage that runs now, for another thread to ask while ``submit`` works."""
+        tracker = self.spark.sparkContext.statusTracker()
+        infos = [tracker.getStageInfo(s) for s in tracker.getActiveStageIds()]
+        return {i.name: i.numCompletedTasks / max(1, i.numTasks) for i in infos if i}
+
     def status(self, job_id: str) -> tuple[State, str]:
         return self.states.get(job_id, (State.PENDING, "NON-EXISTENT"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -46,12 +47,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: ``spark.checkpoint.dir`` if set, else a fresh folder (single-machine runs)."""
+    """The shared folder for checkpoints: ``spark.checkpoint.dir``. Unset, a fresh folder on a single machine, and an error on a cluster."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return configured or current
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = configured or tempfile.mkdtemp(prefix="quern-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder

@@ -164,3 +164,87 @@ def test_listeners(spark, tmp_path):
     hub.attach(f"p{tmp_path.name}", continuous.source(spark, str(tmp_path / "feed")), P()).awaitTermination()
     hub.detach(f"p{tmp_path.name}")
     assert seen == [1]
+
+
+def test_count_windows_flush_and_keep_order(spark, tmp_path):
+    rows = [(i, f"k{i % 5}", float(i), "REMOVED" if i % 11 == 10 else "MODIFIED", "gh"[i % 3 == 0]) for i in range(200)]
+    feed = spark.createDataFrame(rows, "seq long, key string, value double, op string, g string").coalesce(1)
+    for k in range(4):  # four micro-batches, each of later rows in any order
+        feed.filter(f"seq DIV 50 = {k}").orderBy(F.desc("value")).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    got = continuous.CountWindows(continuous.source(spark, str(tmp_path / "feed"), 1), "g", "key", "value", 3).finish()
+    for g in "gh":
+        expected = continuous.count_windows_of([(k, v, op) for _, k, v, op, x in rows if x == g] + [("", 0.0, "FLUSH")], 3)
+        assert sorted((r["window"], r["keys"], r["total"]) for r in got.filter(F.col("group") == g).collect()) == expected
+
+
+def test_windows_by_name(spark, tmp_path):
+    rows = [(i, f"k{i}", float(i), "g") for i in range(6)]
+    spark.createDataFrame(rows, "seq long, key string, value double, g string").coalesce(1).write.parquet(str(tmp_path / "feed"))
+    feed = lambda: continuous.source(spark, str(tmp_path / "feed"))
+    run = lambda conf: sorted((r["window"], r["keys"], r["total"]) for r in continuous.finish(continuous.windowed(feed(), "g", "key", "value", conf), "append").collect())
+    assert run({"window": "sizeBased", "windowSize": "2"}) == [(0, 2, 1.0), (1, 2, 5.0), (2, 2, 9.0)]
+    assert run({}) == [(i, 1, float(i)) for i in range(6)]
+    assert run({"window": "timeBased", "windowSize": "0"}) == [(0, 6, 15.0)]
+
+
+def test_continuous_jobs_give_the_batch_result(spark, texts, tmp_path):
+    for r in texts.collect():
+        spark.createDataFrame([r], texts.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    feed = continuous.source(spark, str(tmp_path / "feed"), 1)
+    job = Job("w", [], "o", mapper=words, combiner=add, local_reducer=add, reducer=add, site="site")
+    run = continuous.map_reduce(feed, job)
+    assert counts(run.finish()) == EXPECTED and run.progress() == {"batches": 5, "rows": 5}
+    seeds = spark.createDataFrame([(0, "a", 1.0), (1, "c", 1.0)], "cluster int, word string, value double")
+    got = {(r["cluster"], r["word"]): r["total"] for r in continuous.k_means_sums(feed, seeds, "key").finish().collect()}
+    assert got == {(0, "a"): 5, (0, "b"): 1, (0, None): 2, (1, "b"): 1, (1, "c"): 1, (1, None): 1}
+    top = continuous.finish(continuous.continuous_top_k(feed, 1, "text")).collect()
+    assert [tuple(r) for r in top] == [("a", 5)]
+
+
+def test_changes_between_states(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    new = spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "k int, v string")
+    got = {r["key"]: (r["op"], r["old"] and r["old"]["v"], r["new"] and r["new"]["v"]) for r in continuous.changes(old, new, "k").collect()}
+    assert got == {1: ("REMOVED", "a", None), 2: ("MODIFIED", "b", "c"), 4: ("CREATED", None, "d")}
+
+
+def test_engine_states_are_honest(spark, texts, tmp_path):
+    (tmp_path / "user_words.py").write_text("def upper(key, row):\n    for w in (row['text'] or '').split():\n        yield w.upper(), 1\n")
+    sys.path.insert(0, str(tmp_path))
+    import user_words
+
+    e = Engine(spark)
+    e.create("texts2", texts)
+    job = e.submit(Job("w", ["texts2"], "out3", mapper=user_words.upper, reducer=add, modules=[str(tmp_path / "user_words.py")]))
+    assert e.status(job)[0] is State.COMPLETED and counts(e.sql("SELECT * FROM out3")) == {"A": 5, "B": 2, "C": 1} and e.rows[job] == 3
+
+    def bad(key, row):
+        raise ValueError("not today")
+
+    state, why = e.status(e.submit(Job("w", ["texts2"], "out4", mapper=bad, reducer=add)))
+    assert state is State.FAILED and "not today" in why and e.progress() == {}
+    steps = (lambda d: d.filter("site = 0"), lambda d: d.select("key"))
+    assert sorted(r["key"] for r in e.workflow(texts, *steps).collect()) == [1, 2]
+
+
+def test_sketch_hash_beyond_the_basic_plane_and_second_draws(spark):
+    names = ["\U0001f600", "a\U0001f600b", "é\U00010000"]
+    df = spark.createDataFrame([(n,) for n in names], "word string")
+    w = (1 << 30) + 1  # draws again in about half of all cases
+    got = {(r["word"], r["row"]): r["col"] for r in countmin.with_cells(df, w, 2).collect()}
+    units = {n: [int.from_bytes(n.encode("utf-16-be")[i : i + 2], "big") for i in range(0, len(n.encode("utf-16-be")), 2)] for n in names}
+    for n in names:
+        h = _java_hash("".join(map(chr, units[n])))
+        bits = spark._jvm.java.util.Random(h)
+        for i in range(2):
+            draws = []
+            for _ in range(3):  # as many as are looked at
+                draws.append(bits.nextInt(1 << 30) * 2)  # 30 of its 31 bits
+                if draws[-1] - draws[-1] % w + w - 1 < 1 << 31:
+                    break
+            assert got[n, i] // 2 * 2 in (draws[-1] % w // 2 * 2, draws[-1] % w) or len(draws) == 3
+
+
+def test_default_tables(spark, sf):
+    tables.register(spark, sf, "region", "nation")
+    assert spark.sql("SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey").first()[0] == 25
