@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from quern.functions import scalar
 from quern.operators import countmin, kmeans, relational, special, transform, wordcount
 from quern.plans import predicates
-from quern.plans.job import Job, run_generic
-from quern.session import cut
+from quern.plans.job import Engine, Job, run_generic
+from quern.session import checkpoint_dir, cut
+from quern.sources import files
 from quern.streaming import continuous
-from quern.tables import get, latest, table
+from quern.tables import batch_get, get, latest, put, put_if_absent, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -465,6 +467,114 @@ def stream_count_window(spark, sf_dir):
     return continuous.CountWindows(feed, "event_type", "user_id", "value", 10).finish().withColumn("total", F.round("total", 4))
 
 
+@_query("stream_top_k", f"SELECT word, n FROM ({_COUNT_SQL}) ORDER BY n DESC, word LIMIT 10")
+def stream_top_k(spark, sf_dir):
+    return continuous.finish(continuous.continuous_top_k(continuous.source(spark, f"{sf_dir}/documents.parquet"), 10, "text"))
+
+
+@_query(
+    "change_feed",
+    """SELECT CASE WHEN a.c_custkey IS NULL THEN 'CREATED' WHEN b.c_custkey IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS op, coalesce(a.c_custkey, b.c_custkey) AS key, a.c_acctbal AS old, b.c_acctbal AS new
+       FROM (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 5 <> 0) a
+       FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0) b ON a.c_custkey = b.c_custkey
+       WHERE a.c_acctbal IS DISTINCT FROM b.c_acctbal OR a.c_custkey IS NULL OR b.c_custkey IS NULL""",
+)
+def change_feed(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    new = c.filter("c_custkey % 7 <> 0").withColumn("c_acctbal", F.expr("CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END"))
+    feed = continuous.changes(c.filter("c_custkey % 5 <> 0"), new, "c_custkey")
+    return feed.select("op", "key", F.col("old.c_acctbal").alias("old"), F.col("new.c_acctbal").alias("new"))
+
+
+# --- tables, files, k-means in rounds -------------------------------------------------------------
+
+
+def _customers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = c.filter("c_custkey % 10 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    return c.filter("c_custkey % 20 <> 0"), new
+
+
+@_query("put", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def put_rows(spark, sf_dir):
+    return put(*_customers(spark, sf_dir), "c_custkey")
+
+
+@_query("put_if_absent", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 20 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def put_absent_rows(spark, sf_dir):
+    return put_if_absent(*_customers(spark, sf_dir), "c_custkey")
+
+
+@_query("batch_get", "SELECT c_custkey, c_name FROM customer WHERE c_custkey BETWEEN 10 AND 40")
+def batch_get_rows(spark, sf_dir):
+    return batch_get(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 10, 40)
+
+
+@_query("capped_load", "SELECT doc_id FROM (SELECT doc_id, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) WHERE b < 100000")
+def capped_load(spark, sf_dir):
+    return files.capped(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 100_000, "doc_id").select("doc_id")
+
+
+def _folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@_query("text_lines", "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY line")
+def text_lines(spark, sf_dir):
+    folder = _folder(spark)
+    table(spark, sf_dir, "documents").select("text").filter("text IS NOT NULL").write.text(folder)
+    return files.text_lines(spark, folder).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@_query("save_map", "SELECT chr(9) || ' ' || n_name || '--->' || n_regionkey AS line FROM nation")
+def save_map(spark, sf_dir):
+    folder = _folder(spark)
+    files.save_map(table(spark, sf_dir, "nation"), "n_name", "n_regionkey", folder)
+    return files.text_lines(spark, folder).select("line")
+
+
+@_query("word_histograms", f"SELECT doc_id, CAST(count(*) + 1 AS INT) AS n, CAST(sum(n) + doc_id AS DOUBLE) AS total FROM (SELECT doc_id, word, count(*) AS n FROM {_WORDS_SQL} WHERE word <> '' GROUP BY ALL) GROUP BY doc_id")
+def word_histograms(spark, sf_dir):
+    fields = files.word_histograms(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return fields.select(F.element_at("fields", "~").cast("long").alias("doc_id"), F.size("fields").alias("n"), F.aggregate(F.map_values("fields"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@_query("map_merge", "SELECT user_id, event_type, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY ALL")
+def map_merge(spark, sf_dir):
+    by_type = table(spark, sf_dir, "events").groupBy("user_id", "event_type", (F.col("event_id") % 2).alias("half")).agg(F.count("*").cast("double").alias("n"))
+    maps = by_type.groupBy("user_id", "half").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    none = F.expr("CAST(map() AS map<string, double>)")
+    both = maps.filter("half = 0").select("user_id", F.col("m").alias("a")).join(maps.filter("half = 1").select("user_id", F.col("m").alias("b")), "user_id", "full")
+    merged = both.select("user_id", scalar.merge_counts(F.coalesce("a", none), F.coalesce("b", none)).alias("m"))
+    return merged.select("user_id", F.explode("m").alias("event_type", "n"))
+
+
+@_query("kmeans_members", _KMEANS_SQL + " SELECT cluster, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY doc_id) AS ids FROM a GROUP BY cluster")
+def kmeans_members(spark, sf_dir):
+    return kmeans.members(_assigned(spark, sf_dir)[1])
+
+
+@_query(
+    "kmeans_two_rounds",
+    _KMEANS_SQL
+    + """, size AS (SELECT cluster, count(*) AS docs FROM a GROUP BY cluster),
+    c2 AS (SELECT cluster, word, sum(n) / max(docs) AS value FROM v JOIN a USING (doc_id) JOIN size USING (cluster) GROUP BY cluster, word),
+    norm2 AS (SELECT cluster, sum(value * value) AS norm FROM c2 GROUP BY cluster),
+    sims2 AS (SELECT v.doc_id, c2.cluster, sum(v.n * (c2.value / sqrt(greatest(norm, 1)))) AS sim FROM v JOIN c2 USING (word) JOIN norm2 USING (cluster) GROUP BY ALL),
+    best2 AS (SELECT doc_id, max({'s': round(sim, 9), 'c': -cluster}) AS b FROM sims2 WHERE sim > 0 GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(-b.c, 0) AS INT) AS cluster FROM (SELECT DISTINCT doc_id FROM v) LEFT JOIN best2 USING (doc_id)""",
+)
+def kmeans_two_rounds(spark, sf_dir):
+    vectors = cut(wordcount.histogram(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return kmeans.fit(vectors, 3, 2)[0].select("doc_id", "cluster")
+
+
+@_query("workflow", f"SELECT word, n FROM ({_COUNT_SQL}) WHERE n > 5 ORDER BY n DESC, word LIMIT 20")
+def workflow(spark, sf_dir):
+    steps = (lambda d: wordcount.word_count(d, "text"), lambda d: d.filter("n > 5"), lambda d: wordcount.top_k(d, 20))
+    return Engine(spark).workflow(table(spark, sf_dir, "documents"), *steps)
+
+
 # --- jobs and graphs -----------------------------------------------------------------------------
 
 

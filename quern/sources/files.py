@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.wordcount import histogram_maps
+from quern.session import cut
 
 
 def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -22,9 +23,17 @@ def line_blocks(spark: SparkSession, path: str, lines_each: int = 1000) -> DataF
 
 
 def capped(df: DataFrame, col: str, max_bytes: int, order: str) -> DataFrame:
-    """Rows in order until their text reaches ``max_bytes``; the row that crosses the limit is the last."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_b", F.coalesce(F.sum(F.octet_length(col)).over(before), F.lit(0))).filter(F.col("_b") < max_bytes).drop("_b")
+    """Rows in order until their text reaches ``max_bytes``; the row that crosses the limit is the last.
+
+    Rows are dealt by ranges of ``order``; one row for each range is added up in order, then the rows of each range.
+    """
+    size = F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
+    dealt = cut(df.withColumn("_b", size).repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    upto = lambda w: F.coalesce(F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = dealt.groupBy("_p").agg(F.sum("_b").alias("_b")).select("_p", upto(Window.orderBy("_p")).alias("_before"))
+    wanted = ranges.filter(F.col("_before") < max_bytes)  # a row for each range
+    rows = dealt.join(F.broadcast(wanted), "_p").withColumn("_own", upto(Window.partitionBy("_p").orderBy(order)))
+    return rows.filter(F.col("_before") + F.col("_own") < max_bytes).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def word_histograms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
