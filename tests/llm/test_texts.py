@@ -167,8 +167,10 @@ def test_licenses(spark, docs, sf, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
     text = "Intro here. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Released under the\tMIT License!\nLicensed under CC BY-NC 4.0."
     r = licenses.scan(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
-    assert r[0]["licenses"] == "CC-BY-NC-4.0,MIT" and r[0]["sentence_ids"] == "21,1,14" and r[1]["licenses"] == ""
-    bsd = ". ".join(licenses.SENTENCES[k - 1] for k in (20, 21, 22, 23)) + "."
+    number = lambda begin: str(next(k for k, x in enumerate(licenses.SENTENCES, 1) if x.startswith(begin)))
+    ids = ",".join(map(number, ("redistributions of source", "released under the mit", "licensed under cc by nc")))
+    assert r[0]["licenses"] == "CC-BY-NC-4.0,MIT" and r[0]["sentence_ids"] == ids and r[1]["licenses"] == ""
+    bsd = ". ".join(licenses.SENTENCES[k - 1] for k in dict(licenses.RULES)["BSD-3-Clause"]) + "."
     r = licenses.scan(spark.createDataFrame([(1, bsd), (2, bsd.replace("neither", "not"))], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [x["licenses"] for x in r] == ["BSD-3-Clause", "BSD-2-Clause"]
 
@@ -362,3 +364,18 @@ def test_lm_gains_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = language.score(docs).filter("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
     assert (r[2] - r[1]) / r[0] > 0.2  # log10 a token, of about 4.1
+
+
+def test_published_notices(spark):
+    """Each notice on one line after other text, and wrapped as it is published, also over numbered items."""
+    import textwrap
+
+    rows, names = [], {}
+    for k, (name, notice) in enumerate(licenses.NOTICES):
+        for j, t in enumerate((f"A title without an end\n{notice}\nMore text.", textwrap.fill(f"A page of text. {notice}", 60) + "\n\nMore text here.", notice.replace(": 1. ", ":\n\n1. ").replace(". 2. ", ".\n2. "))):
+            rows.append((10 * k + j, t))
+            names[10 * k + j] = name
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == names
+    none = [(1, "The licence of this software is not known."), (2, "Version 2.0. Released under no terms."), (3, "")]
+    assert {r["licenses"] for r in licenses.scan(spark.createDataFrame(none, "doc_id long, text string")).collect()} == {""}
