@@ -83,7 +83,7 @@ def _encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for each row, and ``ids`` if asked for.
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for each row, and ``ids`` (integers) if asked for.
 
     The hashes are of the ids as little-endian unsigned 32-bit integers and of the decoded bytes. A null
     text is empty: no tokens, hashes of nothing. Rows with equal or null ids each give a row; an empty table
@@ -92,7 +92,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     ship(docs.sparkSession)
     n = exchange.n_buckets(docs, text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), exchange.arrow_type(docs, id_col)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         for ids, texts in exchange.runs(batches):
@@ -147,20 +147,20 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         cols = [pa.array([r[j] for r in out], t) for j, t in enumerate((None if out else pa.int64(), pa.int64(), pa.string(), pa.string()))]
         if keep_ids:
-            names, cols = [*names, "ids"], [*cols, pa.array([r[4] for r in out], pa.list_(pa.int64()))]
+            names, cols = [*names, "ids"], [*cols, pa.array([r[4].astype(np.int32) for r in out], pa.list_(pa.int32()))]
         return pa.table(cols, names)
 
     answers = rows.mapInArrow(ask, "bucket long, chunk binary, words binary").groupBy("bucket").applyInArrow(answer, "bucket long, chunk binary, ids binary")
     texts = rows.mapInArrow(keep, "chunk binary, texts binary")
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_with_type(rejoin, kind), schema)
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_with_type(rejoin, id_type), schema)
 
 
-def _with_type(f, kind: str):
-    """``f`` with its first column cast to the Arrow type of the SQL type ``kind``; a column of nulls alone has none."""
+def _with_type(f, id_type: pa.DataType):
+    """``f`` with its first column cast to ``id_type``; a column of nulls alone has no type."""
 
     def g(left: pa.Table, right: pa.Table) -> pa.Table:
         t = f(left, right)
-        return t.set_column(0, "doc_id", t.column(0).cast(exchange.plain_type(kind)))
+        return t.set_column(0, "doc_id", t.column(0).cast(id_type))
 
     return g

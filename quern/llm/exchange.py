@@ -73,9 +73,11 @@ def expand(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarr
     return flat[shift + np.arange(total)]
 
 
-def plain_type(kind: str) -> pa.DataType:
-    """The Arrow type of a SQL type of ids; a column of nulls alone does not show it."""
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(), "double": pa.float64()}[kind]
+def arrow_type(docs: DataFrame, col: str) -> pa.DataType:
+    """The Arrow type of a column; a column of nulls alone does not show it."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(docs.schema[col].dataType)
 
 
 def bucket_of(words: list[bytes], n_buckets: int) -> np.ndarray:

@@ -76,7 +76,7 @@ def sets(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "t
     """
     n_buckets = exchange.n_buckets(docs, text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), exchange.arrow_type(docs, id_col)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         for ids, texts in exchange.runs(batches):
@@ -130,7 +130,7 @@ def sets(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "t
                 alone = int((count == 1).sum())
                 items = s[np.argsort(count, kind="stable")].tobytes() if n and n - alone >= least(n) else None
                 out.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), alone, items))
-        return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate((exchange.plain_type(kind), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["doc_id", "n", "print", "own", "items"])
+        return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate((id_type, pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["doc_id", "n", "print", "own", "items"])
 
     answers = rows.mapInArrow(ask, "bucket long, chunk binary, keys binary").groupBy("bucket").applyInArrow(answer, "bucket long, chunk binary, counts binary")
     texts = rows.mapInArrow(keep, "chunk binary, texts binary")

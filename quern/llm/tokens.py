@@ -108,8 +108,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
             n = pa.array(lengths(b.column(1).to_pylist(), path), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n], ["doc_id", "n_bytes", "n_tokens"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     out = src.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

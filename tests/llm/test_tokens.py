@@ -85,3 +85,38 @@ def test_id_files(docs, rows, spark, same, empty):
     out = idfile.scratch(spark)
     idfile.write(empty, path, out)
     assert idfile.read(spark, out).count() == 0
+
+
+def test_ids_of_all_types(spark):
+    """Ids are handed through, whatever their type, and kept ids are those that are hashed."""
+    from quern.llm import jaccard
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    for sql in ("CAST(id AS DATE)", "CAST(id AS TIMESTAMP)", "CAST(id AS DECIMAL(20, 2))", "CAST(1 AS FLOAT)", "CAST('a' AS BINARY)", "true"):
+        value = sql.replace("CAST(id AS", "CAST('2020-02-02' AS" if "DATE" in sql or "TIME" in sql else "CAST(7 AS")
+        df = spark.sql(f"SELECT {value} AS `my.id`, 'one two three four five six' AS `my.text` UNION ALL SELECT NULL, NULL")
+        got = bpe.encode(df, path, P.PATTERN, "my.id", "my.text", keep_ids=True).collect()
+        assert sorted(len(r["ids"]) for r in got) == sorted(r["n_tokens"] for r in got) and {r["doc_id"] for r in got} == {r[0] for r in df.collect()}
+        assert all(hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest() == r["ids_sha256"] for r in got)
+        assert {r["doc_id"] for r in jaccard.join(df, id_col="my.id", text_col="my.text").collect()} == {r[0] for r in df.collect()}
+        assert tokens.count_tokens(df, P.path("byte_bpe_50k.json"), id_col="my.id", text_col="my.text").count() == 2
+
+
+def test_texts_of_several_chunks(spark, same, monkeypatch):
+    """Chunks, runs and blocks smaller than the texts, so that all meet."""
+    from quern.llm import exchange
+
+    rng = np.random.default_rng(5)
+    texts = ["", None, "x" * 3000] + [" ".join(f"w{k}" for k in rng.integers(0, 300, n)) for n in (1, 50, 400, 2000, 7, 900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    expected = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    words = idfile._words(path)
+    got, n = [], []
+    for _, run in exchange.runs(iter(df.toArrow().to_batches()), 1000):
+        ids, lengths = words.encode(run, 2)
+        monkeypatch.setattr(rangecoder, "BLOCK", 500)
+        got += rangecoder.decode(rangecoder.encode(ids, words.size)).tolist()
+        n += lengths.tolist()
+    assert got == [x for e in expected for x in e] and n == list(map(len, expected))
