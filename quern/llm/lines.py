@@ -7,7 +7,7 @@ chance meetings stay few, and the length of the list follows from it, so that RE
 a run (see ``places``). Lines of few shingles are listed by their whole sets with runs of three, which no pair of them
 that is similar enough can miss.
 
-Each line is paired with the first line of each run it shares. Most unlike pairs are ruled out by 64 bits of their
+Each line is paired with the first of the lines that share a run of it. Most unlike pairs are ruled out by 64 bits of their
 signatures, others are verified by the exact Jaccard similarity of all their character shingles, and linked lines fall into
 components by distributed union-find. Then lines of a run that still lie in different components are compared, in
 large groups in blocks, so no differing pair of a group stays unexamined. Of each component the first line stays.
@@ -205,7 +205,11 @@ def _labels(table: Table) -> DataFrame:
     """``node, label`` of the lines that have links: the label is the same in a component."""
     groups = _groups(table.lines, run_length(table.size))
     _release(groups)
-    star = cut(_ordered(groups.filter("first IS NOT NULL").select(F.col("node").alias("a"), F.col("first").alias("b"))))
+    # a line of larger groups is first paired with the least of their first lines alone; what that leaves apart is compared below
+    first = groups.filter("first IS NOT NULL")
+    two = first.filter("key IS NULL").select("node", "first")
+    star = two.unionByName(first.filter("key IS NOT NULL").groupBy("node").agg(F.min("first").alias("first")))
+    star = cut(_ordered(star.select(F.col("node").alias("a"), F.col("first").alias("b"))))
     labels = components(_linked(star, table.lines))
     _release(groups)
     across = cut(_across(groups, labels).join(star, ["a", "b"], "left_anti"))
