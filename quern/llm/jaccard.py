@@ -4,7 +4,8 @@ The shingles of a set are ordered by how many texts have them, rare ones first,
 Sets that link share a shingle among the first n - ceil(0.8 n) + 1 of each, and a pair of shingles among one more.
 Small sets are therefore listed under their pairs of first shingles (subsets of a fixed size), large ones under
 single first shingles; a large set scans lists that also hold the small sets near its size. The boundary is
-where a set has as many pairs as the entries that its scan would read, by the measured lengths of the lists.
+where a set has as many pairs as the entries that its scan would read, by the measured lengths of the lists (of their
+entries' view), and at most SMALL_MOST.
 
 A shingle that one text alone has links nothing. Such shingles come first, and a set whose other shingles are fewer
 than 0.8 of it has no partner and leaves at once. Two sets are compared only if the shingles after their first
@@ -180,13 +181,12 @@ def shingle_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def boundary(nodes: DataFrame) -> int:
-    """The largest size whose pairs of first shingles are no more than the entries of its lists.
+    """The largest size, up to SMALL_MOST, whose pairs of first shingles are no more than the entries that its scan of lists reads.
 
-    Lists count with their mean length: an entry meets the centre of its list and the few entries of other
-    components, so a long list costs its entries no more than a short one.
+    An entry reads the other entries of its list. Lists of one entry cost nothing, and a list counts as often as it has entries.
     """
-    lists = _entries(nodes, None).groupBy("key").count()
-    length = lists.agg(F.avg("count")).first()[0] or 1.0
+    lists = _entries(nodes, None).groupBy("key").count().filter("count > 1")
+    length = lists.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 1.0
     n = 4
     while n < SMALL_MOST and (n + 1 - least(n + 1) + 2) / 2 <= length:
         n += 1
