@@ -379,3 +379,35 @@ def test_published_notices(spark):
     assert got == names
     none = [(1, "The licence of this software is not known."), (2, "Version 2.0. Released under no terms."), (3, "")]
     assert {r["licenses"] for r in licenses.scan(spark.createDataFrame(none, "doc_id long, text string")).collect()} == {""}
+
+
+def test_jaccard_of_small_and_large_sets(spark, lower, same, monkeypatch):
+    """Sets on both sides of the boundary, links across it among them, against brute force."""
+    rng, rows = np.random.default_rng(11), []
+    for size in [*range(8, 128, 3), 400]:
+        words = [f"w{k}" for k in rng.integers(0, 5000, size)]
+        for copy in range(6):
+            own = list(words) if copy < 2 else words[: len(words) - int(rng.integers(0, max(1, size // 6)))]
+            if copy == 3:
+                own[-1] = "other"
+            rows.append((len(rows), " ".join(own)))
+    seen = []
+    entries = jaccard._entries
+
+    def spy(nodes, small):
+        if small is not None:
+            seen.append((small, nodes.filter(f"n <= {small}").count(), nodes.filter(f"n > {small}").count()))
+        return entries(nodes, small)
+
+    monkeypatch.setattr(jaccard, "_entries", spy)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for w in (t.split() for _, t in rows)]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    part = components_of(range(len(rows)), links)
+    least: dict = {}
+    for k in range(len(rows)):
+        least[part[k]] = min(least.get(part[k], k), k)
+    same(got, [(k, len(sets[k]), least[part[k]]) for k in range(len(rows))])
+    ((small, below, above),) = seen
+    assert below > 10 and above > 10, seen
+    assert any(len(sets[a]) <= small < len(sets[b]) for a, b in links) or any(len(sets[b]) <= small < len(sets[a]) for a, b in links)
