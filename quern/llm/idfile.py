@@ -31,7 +31,7 @@ from quern.session import checkpoint_dir, ship
 
 RUN_CHARS = 6 << 20
 SHARD_BYTES = 12 << 20
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 _BETWEEN = re.compile(f"[^{WHITE_SPACE}]+")
 # In texts of ASCII and the letters of Latin-1 it is known what the tokenizer's classes are: white space, letters, digits, others.
 _OTHER_THAN_PLAIN = re.compile("[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]|<\\|")
@@ -72,26 +72,27 @@ class Words:
         self.apart = steps == ["NFC", "Replace", "Lowercase"] and "\\\\p{L}]+|[\\\\p{N}]|[^\\\\s" in pattern and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
         self.size = self.tokenizer.get_vocab_size()
 
-    def of(self, plain: list[str], others: list[str]) -> list[list[int]]:
-        """Ids of words of plain texts, each pre-token in lower case by the library's model; then of other words by the library as a whole."""
-        known, tokenize = self.pieces, self.tokenizer.model.tokenize
-        if len(known) > KEPT_WORDS:
+    def of(self, names: list[str], plain: list[bool]) -> list[list[int]]:
+        """Ids of plain pieces, each one pre-token in lower case, by the library's model; of other words by the library as a whole."""
+        tokenize = self.tokenizer.model.tokenize
+        known = self.pieces
+        if len(known) + len(names) > KEPT_WORDS:
             known.clear()
-        look = known.get
-        out: list[list[int]] = []
-        for word in map(str.lower, plain):
-            ids = look(word)
-            if ids is None:
-                ids = []
-                for name in [word] if word.isalpha() else _PIECE.findall(word):
-                    own = look(name)
-                    if own is None:
-                        letters = name if name.isascii() and name.isalnum() else "".join(map(_LETTERS.__getitem__, name.encode()))
-                        own = known[name] = [t.id for t in tokenize(letters)]
-                    ids += own
+        out: list[list[int] | None] = []
+        other = []
+        for n, (name, one) in enumerate(zip(names, plain, strict=True)):
+            ids = None
+            if one:
+                ids = known.get(name)
+                if ids is None:
+                    letters = name if name.isascii() and name.isalnum() else "".join(map(_LETTERS.__getitem__, name.encode()))
+                    ids = known[name] = [t.id for t in tokenize(letters)]
+            else:
+                other.append(n)
             out.append(ids)
-        for some in balanced(others, 1 << 18):
-            out += (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))
+        for some in balanced([names[n] for n in other], 1 << 18):
+            for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                out[other.pop(0)] = e.ids
         return out
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,26 +100,27 @@ class Words:
         if not self.apart:
             ids = [[*e.ids, end] for run in balanced(texts, 1 << 22) for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
             return np.array([x for i in ids for x in i], np.int64), np.array([len(i) for i in ids], np.int64)
-        plain, others = Numbering(), Numbering()  # the end is plain word 0, other words count from -1 down
-        plain[""] = 0
-        seqs, last = [], np.zeros(1, np.int64)
+        pieces, words = Numbering(), Numbering()  # the end is piece 0, words count from -1 down
+        pieces[""] = 0
+        seqs = []
         for text in texts:
-            if _is_plain(text):
-                names = text.split()
-                seqs.append(np.fromiter(map(plain.__getitem__, names), np.int64, len(names)))
-            else:
+            if not _is_plain(text):
                 names = _BETWEEN.findall(text)
-                seqs.append(-1 - np.fromiter(map(others.__getitem__, names), np.int64, len(names)))
-            seqs.append(last)
-        names = [*plain]
-        ids = [[end], *self.of(names[1:], [*others])]
+                seq = -1 - np.fromiter(map(words.__getitem__, names), np.int64, len(names))
+            else:
+                names = _PIECE.findall(text.lower())
+                seq = np.fromiter(map(pieces.__getitem__, names), np.int64, len(names))
+            seqs.append(np.append(seq, 0))
+        names = [*pieces, *words]
+        ids = self.of(names[1:], [True] * (len(pieces) - 1) + [False] * len(words))
+        ids.insert(0, [end])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
-        which = np.concatenate(seqs) if seqs else np.empty(0, np.int64)
-        which[which < 0] = len(plain) - 1 - which[which < 0]
+        which = np.concatenate(seqs)
+        which[which < 0] = len(pieces) - 1 - which[which < 0]
         n = lengths[which]
-        cuts = np.cumsum([len(a) + 1 for a in seqs[::2]])
-        return expand(flat, lengths, which), np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], cuts]).astype(np.int64)])
+        cuts = np.cumsum([len(s) for s in seqs])
+        return expand(flat, lengths, which), np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], cuts])])
 
 
 def _is_plain(text: str) -> bool:
