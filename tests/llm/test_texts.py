@@ -411,3 +411,14 @@ def test_jaccard_of_small_and_large_sets(spark, lower, same, monkeypatch):
     ((small, below, above),) = seen
     assert below > 10 and above > 10, seen
     assert any(len(sets[a]) <= small < len(sets[b]) for a, b in links) or any(len(sets[b]) <= small < len(sets[a]) for a, b in links)
+
+
+def test_hot_and_repeated_lines(spark):
+    """A line that stands everywhere, lines of one pattern repeated, blank lines, carriage returns, and rows equal in id and text."""
+    hot = "The same sentence stands in all of these documents, word for word and sign for sign."
+    texts = [f"{hot}\nown line number {k} {'abcdefghij'[k % 10] * (k % 7 + 3)}\n\n\t\n{hot}" for k in range(60)] + ["ha ho " * 40, "ha ho " * 9, "a\r\nb\r\nb\r"]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_dropped"], r["text"]) for r in lines.dedup(df).collect()}
+    by_id = {i: (n, t) for i, n, t in got}
+    assert len(got) == len(texts) and by_id[0][0] >= 1 and by_id[0][1].startswith(hot) and "\n\n\t" in by_id[0][1]
+    assert all(hot not in by_id[k][1] for k in range(1, 60)) and by_id[61][0] == 1 and by_id[62][1] == "a\r\nb\r"
