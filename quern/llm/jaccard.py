@@ -183,10 +183,11 @@ def shingle_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def boundary(nodes: DataFrame) -> int:
     """The largest size, up to SMALL_MOST, whose pairs of first shingles are no more than the entries that its scan of lists reads.
 
-    An entry reads the other entries of its list. Lists of one entry cost nothing, and a list counts as often as it has entries.
+    An entry reads the entries of its list; lists of one entry cost nothing. The length that counts is that of the list of the
+    median entry: entries of a few very long lists, as of thousands of near copies, meet the centre of the list and little more.
     """
-    lists = _entries(nodes, None).groupBy("key").count().filter("count > 1")
-    length = lists.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 1.0
+    lists = _entries(nodes, None).groupBy("key").count().filter("count > 1").groupBy("count").agg(F.count("*").alias("lists"))
+    length = lists.agg(F.expr("percentile(count, 0.5, count * lists)")).first()[0] or 1.0
     n = 4
     while n < SMALL_MOST and (n + 1 - least(n + 1) + 2) / 2 <= length:
         n += 1
