@@ -422,3 +422,53 @@ def test_hot_and_repeated_lines(spark):
     by_id = {i: (n, t) for i, n, t in got}
     assert len(got) == len(texts) and by_id[0][0] >= 1 and by_id[0][1].startswith(hot) and "\n\n\t" in by_id[0][1]
     assert all(hot not in by_id[k][1] for k in range(1, 60)) and by_id[61][0] == 1 and by_id[62][1] == "a\r\nb\r"
+
+
+def test_classifier_by_plain_arithmetic(spark):
+    """Features, the fit and the scores against plain formulas, one text at a time."""
+    import xxhash
+
+    rng = np.random.default_rng(2)
+    shift = 32 - classify.BITS
+    hashed = lambda s: xxhash.xxh32_intdigest(s.encode()) >> shift
+
+    def plain_features(text):
+        words = (text or "").split()
+        if not words:
+            return {hashed("\0empty0")}
+        shouted = sum(len(x) > 1 and x.isupper() for x in (w.strip(string.punctuation) if not set(w) & set("#*$%&|<>") else "" for w in words))
+        symbols = sum(bool(set(w) & set("#*$%&|<>")) for w in words)
+        tenths = [("shout", shouted, len(words)), ("symbol", symbols, len(words)), ("distinct", len(set(words)), len(words))]
+        return {hashed(w.strip(string.punctuation).lower()) for w in words} | {hashed(f"\0{n}{round(10 * a / b)}") for n, a, b in tenths}
+
+    texts = [None, "", "...", "LOUD words HERE", "a# b* c d", "\x1f one two  two"] + [" ".join(f"{'good' if rng.random() < g / 2 else 'bad'}{rng.integers(0, 6)}" for _ in range(12)) for g in rng.integers(0, 3, 80)]
+    assert [set(classify.features(t or "").tolist()) for t in texts] == list(map(plain_features, texts))
+    grades = np.array([min(2, max(0, round((t or "").count("good") / 5))) for t in texts])
+    found = [classify.features(t or "") for t in texts]
+    model = classify.fit(found, grades, 3, rounds=600)
+    own = [sorted(f) for f in map(plain_features, texts)]
+    often = collections.Counter(x for f in own for x in f)
+    assert {int(k) for k in np.flatnonzero(model.weights)} <= {k for k, n in often.items() if n >= classify.MIN_TEXTS}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for f, g in zip(own, grades.tolist(), strict=True):
+            s = sum(float(weights[k]) for k in f)
+            edges = [-math.inf, *thresholds, math.inf]
+            total -= math.log(max((1.0 if g == 2 else sig(edges[g + 1] - s)) - (0.0 if g == 0 else sig(edges[g] - s)), 1e-9))
+        return total / len(own) + 0.5 * 2e-4 * float(np.sum(weights.astype(np.float64) ** 2))
+
+    best = loss(model.weights, model.thresholds)
+    assert best < 0.5 * loss(np.zeros_like(model.weights), [-0.5, 0.5])
+    used = np.flatnonzero(model.weights)
+    for _ in range(20):  # no small step leads down by much
+        other = model.weights.copy()
+        other[used] += rng.normal(0, 0.05, len(used)).astype(np.float32)
+        assert loss(other, model.thresholds + rng.normal(0, 0.02, 2)) > best - 2e-3
+    got = {r["doc_id"]: r for r in classify.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, f in enumerate(own):
+        s = sum(float(model.weights[x]) for x in f)
+        above = [sig(s - t) for t in model.thresholds]
+        r = got[k]
+        assert abs(r["expected_grade"] - sum(above)) < 1e-6 and abs(r["p_good"] - above[1]) < 1e-6 and abs(r["p_harmful"] - (1 - above[0])) < 1e-6 and r["kept"] == (r["p_good"] >= 0.5)
