@@ -33,8 +33,8 @@ RECALL = 0.99  # of pairs at the threshold
 CHANCE = 20  # a run is one longer for each such factor in the number of distinct lines
 FEWEST = 8  # in lines of many shingles a run begins at one of so many hashes
 SIGNED, BITS_APART = 48, 18  # smallest hashes whose bits rule out pairs, and how many may differ
-BROADCAST_LINES = 500_000  # numbers of candidate lines, 8 bytes each, that may go to every executor; more are joined by shuffle
-BROADCAST_BYTES = 16 << 20  # of numbers of lines that go; more are joined by shuffle
+BROADCAST_LINES = 100_000  # numbers of candidate lines, 8 bytes each, that may go to every executor; more are joined by shuffle
+BROADCAST_BYTES = 4 << 20  # of numbers of lines that go; more are joined by shuffle
 LIST_BLOCK = 4096  # lines of a group that one task compares with the lines of other components
 BLANK = "\\u0020\\u0009\\u000b\\u000c\\u000d"  # ASCII white space within a line, in SQL
 
@@ -217,6 +217,7 @@ def _labels(table: Table) -> DataFrame:
         return labels
     # links between components join their labels; a line without a component is its own
     links = _linked(across, table.lines)
+    _release(groups)
     for side in ("a", "b"):
         links = links.join(labels.select(F.col("node").alias(side), F.col("label").alias("of")), side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
     joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
