@@ -18,6 +18,7 @@ numbers, and occurrences find their line by 128-bit hashes.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -196,8 +197,9 @@ def _across(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _release(df: DataFrame) -> None:
-    """Let Spark take back the disk of shuffles that nothing refers to any more."""
+    """Let Spark take back the disk of shuffles that nothing refers to any more. References of this process reach the JVM about a second later."""
     gc.collect()
+    time.sleep(2)
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
