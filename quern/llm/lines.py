@@ -9,8 +9,10 @@ that is similar enough can miss.
 
 Each line is paired with the first of the lines that share a run of it. Most unlike pairs are ruled out by 64 bits of their
 signatures, others are verified by the exact Jaccard similarity of all their character shingles, and linked lines fall into
-components by distributed union-find. Then lines of a run that still lie in different components are compared, in
-large groups in blocks, so no differing pair of a group stays unexamined. Of each component the first line stays.
+components by distributed union-find. Lines of a run that still lie in different components are compared next: first with
+one line of a random few of the run, which joins most of what belongs together by pairs in proportion to the lines; then all
+that are left apart, in large groups in blocks. Both look first at the parities of all shingles of a line, which rule out
+most unlike pairs and no similar one, so no differing pair of a group stays unexamined. Of each component the first line stays.
 Equal lines need no candidates. Only SQL functions are used; shingles are compared by 64-bit hashes, lines by their
 numbers, and occurrences find their line by 128-bit hashes.
 """
@@ -36,6 +38,8 @@ FEWEST = 8  # in lines of many shingles a run begins at one of so many hashes
 SIGNED, BITS_APART = 48, 18  # smallest hashes whose bits rule out pairs, and how many may differ
 BROADCAST_LINES = 100_000  # numbers of candidate lines, 8 bytes each, that may go to every executor; more are joined by shuffle
 BROADCAST_BYTES = 4 << 20  # of numbers of lines that go; more are joined by shuffle
+PARITIES = 16  # words of 64 bits
+MEET = 8  # lines of a group of which one is compared with the others before all that are left apart are
 LIST_BLOCK = 4096  # lines of a group that one task compares with the lines of other components
 BLANK = "\\u0020\\u0009\\u000b\\u000c\\u000d"  # ASCII white space within a line, in SQL
 
@@ -141,7 +145,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _groups(lines: DataFrame, run: int) -> DataFrame:
-    """``node, sig, first, key`` of the lines of each group of two or more: ``first`` if that line of the group can be
+    """``node, first, key`` of the lines of each group of two or more: ``first`` if that line of the group can be
     similar enough, ``key`` where the group has more pairs."""
     signed = _smallest(lines.select("node", "line"), places(run, 1 / FEWEST))
     # bits of the smallest hashes
@@ -150,7 +154,7 @@ def _groups(lines: DataFrame, run: int) -> DataFrame:
     w = Window.partitionBy("key")
     first = [F.first(c).over(w.orderBy("node")).alias(name) for c, name in (("node", "first"), ("sig", "first_sig"))]
     near = near.select("key", "node", "sig", *first, F.count("*").over(w).alias("size")).filter("size > 1")
-    near = near.selectExpr("node", "sig", f"CASE WHEN node <> first AND {_may_link('sig', 'first_sig')} THEN first END AS first", "CASE WHEN size > 2 THEN key END AS key")
+    near = near.selectExpr("node", f"CASE WHEN node <> first AND {_may_link('sig', 'first_sig')} THEN first END AS first", "CASE WHEN size > 2 THEN key END AS key")
     return cut(near.filter("first IS NOT NULL OR key IS NOT NULL"))
 
 
@@ -160,11 +164,16 @@ def _may_link(a: str, b: str) -> str:
     return f"bit_count({a} ^ {b}) <= {BITS_APART}"
 
 
+def _lines_of(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, line`` of ``nodes``."""
+    nodes = cut(nodes)
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_LINES else nodes
+    return lines.select("node", "line").join(wanted, "node", "left_semi")
+
+
 def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """``node, line`` of the lines in pairs (a, b)."""
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_LINES else nodes
-    return cut(lines.select("node", "line").join(wanted, "node", "left_semi"))
+    return cut(_lines_of(lines, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
 
 
 def _side(found: DataFrame, name: str, *cols: str) -> DataFrame:
@@ -180,20 +189,59 @@ def _linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return cut(p.filter(f"100 * common >= {SIMILAR} * (both - common)").select("a", "b"))
 
 
-def _across(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines of a group that have different components and can be similar enough."""
-    e = groups.filter("key IS NOT NULL").select("key", "node", "sig")
-    e = e.join(labels.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, node, part, most, size`` of ``entries(key, node)`` in groups of several components: the line's component, the
+    largest of the group and the group's size."""
+    e = entries.join(labels.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     parts = e.groupBy("key", "part").count()
     lists = parts.groupBy("key").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), F.max_by("part", F.struct("count", "part")).alias("most"))
-    lists = lists.filter("parts > 1").select("key", "most", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks"))
-    e = cut(e.join(lists, "key"))
+    return cut(e.join(lists.filter("parts > 1").select("key", "most", "size"), "key").select("key", "node", "part", "most", "size"))
+
+
+def _parities(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, n, p0, p1, ...``: how many shingles each of the lines has, and for each of 64 * PARITIES bits whether an odd number
+    of them falls on it. Two lines differ in no more bits than there are shingles that only one of them has."""
+    x = _lines_of(lines, nodes).selectExpr("node", f"explode(array_distinct({_hashes('line')})) AS x")
+    bits = [F.expr(f"bit_xor(CASE WHEN pmod(x, {PARITIES}) = {k} THEN shiftleft(1L, CAST(shiftrightunsigned(x, 58) AS INT)) ELSE 0L END) AS p{k}") for k in range(PARITIES)]
+    return cut(x.groupBy("node").agg(F.count("*").cast("int").alias("n"), *bits))
+
+
+def _close(x: str, y: str) -> str:
+    """SQL: by their parities the lines ``x`` and ``y`` can be similar enough. No pair is lost: shingles that only one line has are
+    at most (100 - SIMILAR) / (100 + SIMILAR) of both lines' together, or the pair is too unlike."""
+    apart = " + ".join(f"bit_count({x}.p{k} ^ {y}.p{k})" for k in range(PARITIES))
+    return f"{100 + SIMILAR} * ({apart}) <= {100 - SIMILAR} * ({x}.n + {y}.n) AND 100 * least({x}.n, {y}.n) >= {SIMILAR} * greatest({x}.n, {y}.n)"
+
+
+def _met(e: DataFrame, marks: DataFrame) -> DataFrame:
+    """Distinct close pairs (a, b): the lines of a group ``_apart`` are dealt at random by MEET, each with the first of its own.
+
+    Lines that share many groups meet others in each, so large components come together by pairs no more than the lines' entries."""
+    w = Window.partitionBy("key", F.expr(f"pmod(xxhash64(key, node), CAST(ceil(size / {MEET}) AS INT))")).orderBy("node")
+    pairs = e.select("node", "part", F.first("node").over(w).alias("first"), F.first("part").over(w).alias("first_part"))
+    pairs = _ordered(pairs.filter("part <> first_part").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    x, y = marks.withColumnRenamed("node", "a").alias("x"), marks.withColumnRenamed("node", "b").alias("y")
+    return cut(pairs.join(x, "a").join(y, "b").filter(_close("x", "y")).select("a", "b"))
+
+
+def _across(e: DataFrame, marks: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of lines of a group ``_apart`` that have different components and are close."""
+    e = e.withColumn("blocks", F.ceil(F.col("size") / LIST_BLOCK).cast("int")).join(marks, "node")
     # lines outside of the largest component go to every block of their group, others to one
     x = e.filter("part <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     y = e.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     both = "x.key = y.key AND x.block = y.block AND x.part <> y.part AND (y.part = y.most OR x.node < y.node)"
-    pairs = x.alias("x").join(y.alias("y"), F.expr(f"{both} AND {_may_link('x.sig', 'y.sig')}"))
-    return _ordered(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    pairs = x.alias("x").join(y.alias("y"), F.expr(f"{both} AND {_close('x', 'y')}"))
+    return cut(_ordered(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links`` between components; a line without a component is its own."""
+    for side in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(side), F.col("label").alias("of")), side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+    joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    known = labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return cut(known.unionByName(joined.join(labels.select("node"), F.col("label") == F.col("node"), "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))))
 
 
 def _release(df: DataFrame) -> None:
@@ -214,17 +262,19 @@ def _labels(table: Table) -> DataFrame:
     star = cut(_ordered(star.select(F.col("node").alias("a"), F.col("first").alias("b"))))
     labels = components(_linked(star, table.lines))
     _release(groups)
-    across = cut(_across(groups, labels).join(star, ["a", "b"], "left_anti"))
-    if across.isEmpty():
+    e = _apart(groups.filter("key IS NOT NULL").select("key", "node"), labels)
+    if e.isEmpty():
         return labels
-    # links between components join their labels; a line without a component is its own
-    links = _linked(across, table.lines)
+    marks = _parities(table.lines, e.select("node").distinct())
     _release(groups)
-    for side in ("a", "b"):
-        links = links.join(labels.select(F.col("node").alias(side), F.col("label").alias("of")), side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
-    joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    known = labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return known.unionByName(joined.join(labels.select("node"), F.col("label") == F.col("node"), "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label")))
+    for pairs in (_met, _across):
+        links = _linked(pairs(e, marks), table.lines)
+        _release(groups)
+        if not links.isEmpty():
+            labels = _joined(labels, links)
+        if pairs is _met:
+            e = _apart(e.select("key", "node"), labels)
+    return labels
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -424,6 +424,24 @@ def test_hot_and_repeated_lines(spark):
     assert all(hot not in by_id[k][1] for k in range(1, 60)) and by_id[61][0] == 1 and by_id[62][1] == "a\r\nb\r"
 
 
+def test_lines_of_one_passage_are_few_pairs(spark, monkeypatch):
+    """Unlike lines that share a passage, some with a near copy: the pairs whose texts are compared stay in proportion to the lines."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list(string.ascii_lowercase), rng.integers(3, 9)))
+    shared, own = " ".join(word() for _ in range(30)), []
+    for k in range(300):
+        own.append(f"{' '.join(word() for _ in range(6))} {shared} {' '.join(word() for _ in range(6))}")
+        if k % 3 == 0:
+            own.append(own[-1][:-7] + "changed")
+    seen, linked = [], lines._linked
+    monkeypatch.setattr(lines, "_linked", lambda pairs, of: seen.append(pairs.count()) or linked(pairs, of))
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    drop = dropped_by_brute_force(list(enumerate(own)))
+    assert sum(drop.values()) >= 100
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.dedup(df).collect()} == {i: drop[i] for i in range(len(own))}
+    assert sum(seen) <= 4 * len(own), seen
+
+
 def test_classifier_by_plain_arithmetic(spark):
     """Features, the fit and the scores against plain formulas, one text at a time."""
     import xxhash
