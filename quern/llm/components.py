@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round gives every node the smallest of itself and its neighbours, follows such hooks until they
     end, and keeps the edges between different labels, which become fewer each time. Everything stays in
-    tables; a node of many edges takes part in aggregates and joins only. Loops (a = b) give a node of its own.
+    tables, joined by shuffle so that none goes through the driver; a node of many edges takes part in aggregates and joins only. Loops (a = b) give a node of its own.
     """
     kind = edges.schema["a"].dataType
     edges = cut(edges.select("a", "b").distinct())
@@ -24,16 +24,16 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = cut(both.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("m")).select("root", F.least("root", "m").alias("to")))
         while True:  # hooks point to smaller nodes, so they have no cycles
             on = hooks.select(F.col("root").alias("to"), F.col("to").alias("next"))
-            further = hooks.join(on, "to", "left").select("root", "to", F.coalesce("next", "to").alias("next"))
+            further = hooks.join(on.hint("merge"), "to", "left").select("root", "to", F.coalesce("next", "to").alias("next"))
             further = cut(further)
             moved = not further.filter("next <> to").isEmpty()
             hooks = further.select("root", F.col("next").alias("to"))
             if not moved:
                 break
-        labels = labels.join(hooks.withColumnRenamed("root", "label"), "label", "left").select("node", F.coalesce("to", "label").cast(kind).alias("label"))
+        labels = labels.join(hooks.withColumnRenamed("root", "label").hint("merge"), "label", "left").select("node", F.coalesce("to", "label").cast(kind).alias("label"))
         labels = cut(labels)
         left = hooks.select(F.col("root").alias("a"), F.col("to").alias("x"))
         right = hooks.select(F.col("root").alias("b"), F.col("to").alias("y"))
-        edges = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+        edges = edges.join(left.hint("merge"), "a", "left").join(right.hint("merge"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
         edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return labels

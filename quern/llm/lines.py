@@ -192,10 +192,10 @@ def _linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """``key, node, part, most, size`` of ``entries(key, node)`` in groups of several components: the line's component, the
     largest of the group and the group's size."""
-    e = entries.join(labels.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    e = entries.join(labels.withColumnRenamed("label", "part").hint("merge"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     parts = e.groupBy("key", "part").count()
     lists = parts.groupBy("key").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), F.max_by("part", F.struct("count", "part")).alias("most"))
-    return cut(e.join(lists.filter("parts > 1").select("key", "most", "size"), "key").select("key", "node", "part", "most", "size"))
+    return cut(e.join(lists.filter("parts > 1").select("key", "most", "size").hint("merge"), "key").select("key", "node", "part", "most", "size"))
 
 
 def _parities(lines: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -221,12 +221,12 @@ def _met(e: DataFrame, marks: DataFrame) -> DataFrame:
     pairs = e.select("node", "part", F.first("node").over(w).alias("first"), F.first("part").over(w).alias("first_part"))
     pairs = _ordered(pairs.filter("part <> first_part").select(F.col("node").alias("a"), F.col("first").alias("b")))
     x, y = marks.withColumnRenamed("node", "a").alias("x"), marks.withColumnRenamed("node", "b").alias("y")
-    return cut(pairs.join(x, "a").join(y, "b").filter(_close("x", "y")).select("a", "b"))
+    return cut(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").filter(_close("x", "y")).select("a", "b"))
 
 
 def _across(e: DataFrame, marks: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of lines of a group ``_apart`` that have different components and are close."""
-    e = e.withColumn("blocks", F.ceil(F.col("size") / LIST_BLOCK).cast("int")).join(marks, "node")
+    e = e.withColumn("blocks", F.ceil(F.col("size") / LIST_BLOCK).cast("int")).join(marks.hint("merge"), "node")
     # lines outside of the largest component go to every block of their group, others to one
     x = e.filter("part <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     y = e.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -238,17 +238,19 @@ def _across(e: DataFrame, marks: DataFrame) -> DataFrame:
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after ``links`` between components; a line without a component is its own."""
     for side in ("a", "b"):
-        links = links.join(labels.select(F.col("node").alias(side), F.col("label").alias("of")), side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+        links = links.join(labels.select(F.col("node").alias(side), F.col("label").alias("of")).hint("merge"), side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
     joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    known = labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    known = labels.join(joined.hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     return cut(known.unionByName(joined.join(labels.select("node"), F.col("label") == F.col("node"), "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))))
 
 
 def _release(df: DataFrame) -> None:
-    """Let Spark take back the disk of shuffles that nothing refers to any more. References of this process reach the JVM about a second later."""
+    """Let Spark take back the disk of shuffles that nothing refers to any more. References of this process reach the JVM about a second later,
+    and Spark's cleaner takes one after the other after that."""
     gc.collect()
     time.sleep(2)
     df.sparkSession.sparkContext._jvm.System.gc()
+    time.sleep(2)
 
 
 def _labels(table: Table) -> DataFrame:

@@ -424,6 +424,24 @@ def test_hot_and_repeated_lines(spark):
     assert all(hot not in by_id[k][1] for k in range(1, 60)) and by_id[61][0] == 1 and by_id[62][1] == "a\r\nb\r"
 
 
+def test_components_send_nothing_through_the_driver(spark, monkeypatch):
+    """Tables small enough for a broadcast are joined by shuffle all the same, as they grow with the input."""
+    from quern.llm import components as module
+
+    plans, cut = [], module.cut
+
+    def run(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())  # the one that ran
+        return out
+
+    monkeypatch.setattr(module, "cut", run)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 51)], "a long, b long")
+    got = {r["node"]: r["label"] for r in module.components(edges).collect()}
+    assert len({got[k] for k in range(21)}) == 1 and got[50] == got[51] != got[0]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_lines_of_one_passage_are_few_pairs(spark, monkeypatch):
     """Unlike lines that share a passage, some with a near copy: the pairs whose texts are compared stay in proportion to the lines."""
     rng = np.random.default_rng(11)
