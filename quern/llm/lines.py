@@ -245,12 +245,12 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _release(df: DataFrame) -> None:
-    """Let Spark take back the disk of shuffles that nothing refers to any more. References of this process reach the JVM about a second later,
-    and Spark's cleaner takes one after the other after that."""
+    """Let Spark take back the disk of shuffles that nothing refers to any more. References of this process reach the JVM within about a
+    second; Spark's cleaner takes one after the other after that."""
     gc.collect()
-    time.sleep(2)
+    time.sleep(1.2)
     df.sparkSession.sparkContext._jvm.System.gc()
-    time.sleep(2)
+    time.sleep(1)
 
 
 def _labels(table: Table) -> DataFrame:
