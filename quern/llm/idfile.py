@@ -16,7 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +63,7 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.pieces: dict[str, list[int]] = {}
+        self._forget()
         with open(path) as f:
             spec = json.load(f)
         pattern = json.dumps((spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern"))
@@ -72,36 +72,29 @@ class Words:
         self.apart = steps == ["NFC", "Replace", "Lowercase"] and "\\\\p{L}]+|[\\\\p{N}]|[^\\\\s" in pattern and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
         self.size = self.tokenizer.get_vocab_size()
 
-    def of(self, names: list[str], plain: list[bool]) -> list[list[int]]:
-        """Ids of plain pieces, each one pre-token in lower case, by the library's model; of other words by the library as a whole."""
+    def _forget(self) -> None:
+        """An empty table: piece 0 is the end, whose id each call sets."""
+        self.pieces = Numbering({"": 0})
+        self.lengths, self.flat = np.ones(1, np.int64), np.zeros(1, np.int64)
+
+    def _of_pieces(self, names: list[str]) -> list[list[int]]:
+        """Ids of plain pieces, each one pre-token in lower case, by the library's model."""
         tokenize = self.tokenizer.model.tokenize
-        known = self.pieces
-        if len(known) + len(names) > KEPT_WORDS:
-            known.clear()
-        out: list[list[int] | None] = []
-        other = []
-        for n, (name, one) in enumerate(zip(names, plain, strict=True)):
-            ids = None
-            if one:
-                ids = known.get(name)
-                if ids is None:
-                    letters = name if name.isascii() and name.isalnum() else "".join(map(_LETTERS.__getitem__, name.encode()))
-                    ids = known[name] = [t.id for t in tokenize(letters)]
-            else:
-                other.append(n)
-            out.append(ids)
-        for some in balanced([names[n] for n in other], 1 << 18):
-            for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
-                out[other.pop(0)] = e.ids
-        return out
+        return [[t.id for t in tokenize(x if x.isascii() and x.isalnum() else "".join(map(_LETTERS.__getitem__, x.encode())))] for x in names]
+
+    def _of_words(self, names: list[str]) -> list[list[int]]:
+        """Ids of other words by the library as a whole."""
+        return [e.ids for some in balanced(names, 1 << 18) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end`` after each, and how many each has."""
         if not self.apart:
             ids = [[*e.ids, end] for run in balanced(texts, 1 << 22) for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
             return np.array([x for i in ids for x in i], np.int64), np.array([len(i) for i in ids], np.int64)
-        pieces, words = Numbering(), Numbering()  # the end is piece 0, words count from -1 down
-        pieces[""] = 0
+        # pieces keep their numbers from call to call; a call that failed may have left some without ids
+        if len(self.pieces) > KEPT_WORDS or len(self.pieces) != len(self.lengths):
+            self._forget()
+        pieces, words = self.pieces, Numbering()  # words count from -1 down
         seqs = []
         for text in texts:
             if not _is_plain(text):
@@ -111,11 +104,9 @@ class Words:
                 names = _PIECE.findall(text.lower())
                 seq = np.fromiter(map(pieces.__getitem__, names), np.int64, len(names))
             seqs.append(np.append(seq, 0))
-        names = [*pieces, *words]
-        ids = self.of(names[1:], [True] * (len(pieces) - 1) + [False] * len(words))
-        ids.insert(0, [end])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
+        self.lengths, self.flat = _extended(self.lengths, self.flat, self._of_pieces(list(islice(pieces, len(self.lengths), None))))
+        self.flat[0] = end
+        lengths, flat = _extended(self.lengths, self.flat, self._of_words([*words]))
         which = np.concatenate(seqs)
         which[which < 0] = len(pieces) - 1 - which[which < 0]
         n = lengths[which]
@@ -123,6 +114,12 @@ class Words:
         return expand(flat, lengths, which), np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], cuts])])
 
 
+def _extended(lengths: np.ndarray, flat: np.ndarray, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """``lengths`` and ``flat`` with the lists ``ids`` after them."""
+    more = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.concatenate([lengths, more]), np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.int64, int(more.sum()))])
+
+
 def _is_plain(text: str) -> bool:
     """No characters but ASCII and letters of Latin-1, and no special string."""
     if text.isascii():

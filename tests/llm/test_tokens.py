@@ -120,3 +120,12 @@ def test_texts_of_several_chunks(spark, same, monkeypatch):
         got += rangecoder.decode(rangecoder.encode(ids, words.size)).tolist()
         n += lengths.tolist()
     assert got == [x for e in expected for x in e] and n == list(map(len, expected))
+
+
+def test_known_pieces_stay_between_calls(monkeypatch):
+    monkeypatch.setattr(idfile, "KEPT_WORDS", 6)
+    words = idfile.Words(P.path("word_bpe_49k.json"))
+    for k, text in enumerate(["aa bb cc dd", "cc dd ee", "É日本 ff gg", "aa hh", "hh"]):
+        got, n = words.encode([text, text], 2)
+        assert got.tolist() == 2 * [*words.tokenizer.encode(text, add_special_tokens=False).ids, 2] and n.tolist() == 2 * [len(got) // 2]
+        assert k != 1 or "aa" in words.pieces  # known ones do not count twice
