@@ -36,8 +36,9 @@ RECALL = 0.99  # of pairs at the threshold
 CHANCE = 20  # a run is one longer for each such factor in the number of distinct lines
 FEWEST = 8  # in lines of many shingles a run begins at one of so many hashes
 SIGNED, BITS_APART = 48, 18  # smallest hashes whose bits rule out pairs, and how many may differ
-BROADCAST_LINES = 100_000  # numbers of candidate lines, 8 bytes each, that may go to every executor; more are joined by shuffle
 BROADCAST_BYTES = 4 << 20  # of numbers of lines that go; more are joined by shuffle
+BITMAP_BLOCKS = 1 << 16  # of 4,096 bits in a bitmap that may go to every executor, 512 bytes each
+SIEVE = 32  # bits for each hash in a bitmap of hashes
 PARITIES = 16  # words of 64 bits
 MEET = 8  # lines of a group of which one is compared with the others before all that are left apart are
 LIST_BLOCK = 4096  # lines of a group that one task compares with the lines of other components
@@ -164,11 +165,33 @@ def _may_link(a: str, b: str) -> str:
     return f"bit_count({a} ^ {b}) <= {BITS_APART}"
 
 
+def _bitmap(numbers: DataFrame) -> DataFrame | None:
+    """``block, words`` with a bit for each of the numbers in the one column, from 0 on; None if it is too large to go to every executor."""
+    words = numbers.toDF("v").groupBy(F.expr("shiftright(v, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(v & 63 AS INT)))").alias("bits"))
+    blocks = words.groupBy(F.expr("shiftright(w, 6)").alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("CAST(w & 63 AS INT)"), "bits"))).alias("m"))
+    bits = cut(blocks.selectExpr("block", "transform(sequence(0, 63), i -> coalesce(try_element_at(m, i), 0L)) AS words"))
+    return bits if bits.count() <= BITMAP_BLOCKS else None
+
+
+def _asked(rows: DataFrame, number: str, bits: DataFrame) -> DataFrame:
+    """``rows`` with ``asked``: whether their ``number`` has its bit. The rows stay where they are."""
+    found = rows.withColumn("v", F.expr(number)).join(F.broadcast(bits), F.expr("shiftright(v, 12) = block"), "left")
+    asked = "coalesce(get(words, CAST(shiftright(v, 6) & 63 AS INT)) & shiftleft(1L, CAST(v & 63 AS INT)), 0L) <> 0"
+    return found.select(*rows.columns, F.expr(asked).alias("asked"))
+
+
+def _sieved(rows: DataFrame, pair: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``asked``: false only where their ``pair`` of hashes is not in ``wanted``, and for most of those."""
+    size = max(1, min(SIEVE * wanted.count(), 4096 * BITMAP_BLOCKS))
+    bits = _bitmap(wanted.selectExpr(f"pmod({pair}.x, {size}L)"))
+    return _asked(rows, f"pmod({pair}.x, {size}L)", bits) if bits is not None else rows.withColumn("asked", F.lit(True))
+
+
 def _lines_of(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, line`` of ``nodes``."""
-    nodes = cut(nodes)
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_LINES else nodes
-    return lines.select("node", "line").join(wanted, "node", "left_semi")
+    """``node, line`` of ``nodes``. Lines are many more than those asked for, so a bitmap goes to the lines and not the lines to a join."""
+    nodes, lines = cut(nodes), lines.select("node", "line")
+    bits = _bitmap(nodes)
+    return lines.join(nodes, "node", "left_semi") if bits is None else _asked(lines, "node", bits).filter("asked").drop("asked")
 
 
 def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -286,11 +309,15 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     _release(docs)
     labels = cut(_labels(table))
     _release(docs)
-    groups = table.lines.select("node", "hash", "copies").join(labels, "node", "left").filter("label IS NOT NULL OR copies > 1")
+    distinct, bits = table.lines.select("node", "hash", "copies"), _bitmap(labels.select("node"))
+    if bits is not None:
+        distinct = _asked(distinct, "node", bits).filter("asked OR copies > 1").drop("asked")
+    groups = distinct.join(labels, "node", "left").filter("label IS NOT NULL OR copies > 1")
     groups = cut(groups.select("hash", F.coalesce("label", "node").alias("label")))
     table.delete()
     at = F.struct("id", "row", "line_no")
-    repeated = _split(rows, "id", "row").select("id", "row", "line_no", _pair("line").alias("hash")).join(groups, "hash").drop("hash")
+    every = _split(rows, "id", "row").select("id", "row", "line_no", _pair("line").alias("hash"))
+    repeated = _sieved(every, "hash", groups).filter("asked").drop("asked").join(groups, "hash").drop("hash")
     repeated = cut(repeated)
     kept = repeated.groupBy("label").agg(F.min(at).alias("keep"))
     out = repeated.join(kept, "label").filter(~at.eqNullSafe(F.col("keep")))
@@ -323,7 +350,12 @@ def _with_drops(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
     d = d.select("_d", F.col("_d").getField(id_col).alias("id"), F.coalesce(F.col("_d").getField(text_col), F.lit("")).alias("t"))
     d = d.select("_d", _pair("id", "t").alias("row"))
-    return d.join(F.broadcast(drops) if size <= BROADCAST_BYTES else drops, "row", "left")
+    if size <= BROADCAST_BYTES:
+        return d.join(F.broadcast(drops), "row", "left")
+    # rows that lose nothing need not be shuffled
+    d = _sieved(d, "row", drops)
+    whole = d.filter("NOT asked").withColumn("line_nos", F.lit(None).cast(drops.schema["line_nos"].dataType))
+    return d.filter("asked").join(drops, "row", "left").unionByName(whole)
 
 
 def _left(text_col: str) -> Column:

@@ -508,3 +508,25 @@ def test_classifier_by_plain_arithmetic(spark):
         above = [sig(s - t) for t in model.thresholds]
         r = got[k]
         assert abs(r["expected_grade"] - sum(above)) < 1e-6 and abs(r["p_good"] - above[1]) < 1e-6 and abs(r["p_harmful"] - (1 - above[0])) < 1e-6 and r["kept"] == (r["p_good"] >= 0.5)
+
+
+def test_lines_asked_for_are_found_without_shuffling_all(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = spark.range(200_000).selectExpr("id + shiftleft(id % 3, 33) AS node", "CAST(id AS string) AS line")
+        found = lines._lines_of(table, table.filter("CAST(line AS long) % 4 < 3").select("node"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(node" not in plan
+        assert {int(r["line"]) for r in found.collect()} == {k for k in range(200_000) if k % 4 < 3}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_equal_with_and_without_bitmaps(spark, sf, same, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    expected = lines.dedup(docs).collect()
+    assert sum(r["n_dropped"] for r in expected)
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", 0)
+    same(lines.dedup(docs).collect(), expected)
+    monkeypatch.setattr(lines, "BITMAP_BLOCKS", 0)
+    same(lines.dedup(docs).collect(), expected)
