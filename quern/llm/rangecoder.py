@@ -30,6 +30,8 @@ HEAD = struct.Struct("<4sIIIII")  # magic, ids, lanes, alphabet, crc32 of the id
 _U32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 _LEAST = np.uint64(1 << 32)
+# of the confidence, after a miss (halved) and after a hit (one more) at each level; a miss at 0 puts another id there
+_CHANGE = np.array([d for c in range(TOP) for d in ((c >> 1) - c, int(c < TOP - 1))], np.int32)
 
 
 class Model:
@@ -82,26 +84,24 @@ class Model:
     def find(self, v: np.ndarray) -> np.ndarray:
         """The ids whose shares hold the places ``v``."""
         (p1, p2), (m1, m2), cum = self.p, self.m, self.cum
-        swap = p2 < p1
-        a, b = np.where(swap, p2, p1), np.where(swap, p1, p2)
-        ma, mb = np.where(swap, m2, m1), np.where(swap, m1, m2)
+        a, b = np.minimum(p1, p2), np.maximum(p1, p2)
+        ma, both = np.where(p2 < p1, m2, m1), m1 + m2
         # the lower guess, with a share added, then the higher one; a place beyond a share is as far beyond in the shares of order 0
-        first, second = cum[a + 1] + ma, cum[b + 1] + ma + mb
-        x = v - np.where(v < first, 0, ma) - np.where(v < second, 0, mb)
-        ids = np.where((v < first) & (v >= cum[a]), a, b)
-        other = np.flatnonzero((v < cum[a]) | (v >= first) & ((v < cum[b] + ma) | (v >= second)))
-        # these are not guessed; sums of order 0 stay below 2**31
-        ids[other] = np.searchsorted(self.cum32, x[other].astype(np.int32), "right") - 1
+        past_a, past_b = v >= cum[a + 1] + ma, v >= cum[b + 1] + both
+        other = np.flatnonzero(np.where(past_a, (v < cum[b] + ma) | past_b, v < cum[a]))
+        ids = np.where(past_a, b, a)
+        # these are not guessed; sums of order 0 stay below 2**31, and places about in order are found faster
+        x = v[other] - np.where(past_b[other], both[other], ma[other] * past_a[other])
+        order = np.argsort((x >> max(0, self.total.bit_length() - 16)).astype(np.uint16), kind="stable")
+        ids[other[order]] = np.searchsorted(self.cum32, x[order].astype(np.int32), "right") - 1
         return ids.astype(np.int64)
 
     def learn(self, ids: np.ndarray) -> None:
         small = ids.astype(np.int32)
         for k in range(2):
-            c, e = self.c[k], self.entry[k]
-            hit = self.p[k] == small
-            self.record[k] += np.bincount(2 * c + hit, minlength=2 * TOP)
-            wrong = np.where(c > 0, e - c + (c >> 1), small << 4)
-            self.table[k][self.at[k]] = np.where(hit, e + (c < TOP - 1), wrong)
+            level = 2 * self.c[k] + (self.p[k] == small)
+            self.record[k] += np.bincount(level, minlength=2 * TOP)
+            self.table[k][self.at[k]] = np.where(level == 0, small << 4, self.entry[k] + _CHANGE[level])
         self.prev2, self.prev = self.prev, ids
         self.recent.append(ids)
         self.step += 1
