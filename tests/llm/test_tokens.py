@@ -139,3 +139,24 @@ def test_places_are_looked_up_in_order(monkeypatch):
     monkeypatch.setattr(np, "searchsorted", lambda cum, x, side: seen.append(x >> max(0, int(cum[-1]).bit_length() - 16)) or find(cum, x, side))
     assert (rangecoder.decode(blocks) == ids).all()
     assert any(len(x) > 100 for x in seen) and all((np.diff(x) >= 0).all() for x in seen)
+
+
+def test_pieces_of_plain_texts_are_looked_up_once():
+    """Texts of a run are cut together, as the library cuts them, and each distinct piece of the run is looked up once."""
+    rng = np.random.default_rng(7)
+    parts = ["'", "'", "''", "s", "T", "re", "VE", "l", "ll", "m", "d", "x", "Éa", "ÿ", "ß", "1", "23", " ", " ", "\t\n", "\x0b", "!", "-.", "\x00", "\x7f"]
+    texts = ["", "'", "x'", "don't'", "'re", " 'l", "É日本'S", *("".join(rng.choice(parts, n)) for n in (1, 5, 60, 2000, 3, 400))]
+    words = idfile.Words(P.path("word_bpe_49k.json"))
+    asked = []
+
+    class Seen(type(words.pieces)):
+        def __getitem__(self, name):
+            asked.append(name)
+            return super().__getitem__(name)
+
+    words.pieces = Seen(words.pieces)
+    expected = [[*words.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    got, n = words.encode(texts, 2)
+    assert got.tolist() == [x for e in expected for x in e] and n.tolist() == list(map(len, expected))
+    assert len(asked) == len(set(asked)) > 20
+    assert words.encode([""], 2)[0].tolist() == [2]
