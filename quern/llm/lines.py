@@ -120,43 +120,47 @@ def _smallest(lines: DataFrame, most: int) -> DataFrame:
 
 
 def _keys(signed: DataFrame, run: int) -> DataFrame:
-    """``key, node, sig`` of the groups of each line of ``signed(node, m, n, sig)``: hashes of its runs.
+    """``key, node, sig`` of the groups of each line of ``signed(node, m, n, sig)``: hashes of its runs, without ``sig``, and one row
+    more of each line that alone holds its ``sig``, at a key of its own.
 
     Lines of few shingles have runs of fewer; where that changes, lines have both. Runs begin at every place, or in lines of
-    many shingles at hashes with one to three low bits of zero. A number stands for a run, its place times 64 and its length.
+    many shingles at hashes with one to three low bits of zero. A number stands for a run, its place times 64 and its length; 0 for the row more.
     """
 
     def runs(length: str, of: str = "n") -> str:
         return f"sequence(64 + {length}, 64 * ({of} - {length} + 1) + {length}, 64)"
 
     none = "CAST(array() AS array<int>)"
-    parts = [f"CASE WHEN n < 3 THEN {runs('n')} WHEN n IN (4, 5) THEN {runs('2')} ELSE {none} END"]
+    parts = ["array(0)", f"CASE WHEN n < 3 THEN {runs('n')} WHEN n IN (4, 5) THEN {runs('2')} ELSE {none} END"]
     for r in range(3, run):
         least = 3 if r == 3 else places(r, 1)
         parts.append(f"CASE WHEN n >= {least} AND n < {-(-100 * places(r + 1, 1) // SIMILAR)} THEN {runs(r)} ELSE {none} END")
     parts.append(f"CASE WHEN n < {places(run, 1)} THEN {none} ELSE {runs(run)} END")
     low = " ".join(f"WHEN n < {-(-100 * places(run, 1 / (2 * k)) // SIMILAR)} THEN {k - 1}" for k in (1, 2, 4))
     rows = signed.selectExpr("node", "sig", "m", f"CASE {low} ELSE {FEWEST - 1} END AS low", f"explode(concat({', '.join(parts)})) AS at")
-    rows = rows.filter("get(m, shiftright(at, 6) - 1) & low = 0")
-    return rows.selectExpr("xxhash64(slice(m, shiftright(at, 6), at & 63)) AS key", "node", "sig")
+    rows = rows.filter("at = 0 OR get(m, shiftright(at, 6) - 1) & low = 0")
+    return rows.selectExpr("CASE WHEN at = 0 THEN xxhash64(node) ELSE xxhash64(slice(m, shiftright(at, 6), at & 63)) END AS key", "node", "CASE WHEN at = 0 THEN sig END AS sig")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _groups(lines: DataFrame, run: int) -> DataFrame:
-    """``node, first, key`` of the lines of each group of two or more: ``first`` if that line of the group can be
-    similar enough, ``key`` where the group has more pairs."""
+def _groups(lines: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
+    """``node, first, two, more`` of lines and the first of their groups, if these can be similar enough, and whether that is of a group of
+    two lines and of one of more; and ``key, node`` of the groups of more."""
     signed = _smallest(lines.select("node", "line"), places(run, 1 / FEWEST))
     # bits of the smallest hashes
     sig = f"aggregate(slice(m, 1, {SIGNED}), 0L, (a, x) -> a | shiftleft(1L, CAST(x & 63 AS INT)))"
-    near = _keys(signed.selectExpr("node", "m", "size(m) AS n", f"{sig} AS sig"), run)
-    w = Window.partitionBy("key")
-    first = [F.first(c).over(w.orderBy("node")).alias(name) for c, name in (("node", "first"), ("sig", "first_sig"))]
-    near = near.select("key", "node", "sig", *first, F.count("*").over(w).alias("size")).filter("size > 1")
-    near = near.selectExpr("node", f"CASE WHEN node <> first AND {_may_link('sig', 'first_sig')} THEN first END AS first", "CASE WHEN size > 2 THEN key END AS key")
-    return cut(near.filter("first IS NOT NULL OR key IS NOT NULL"))
+    near = _keys(signed.selectExpr("node", "m", "size(m) AS n", f"{sig} AS sig"), run).repartition("key")
+    # most keys stand alone; both sides read one shuffle, and neither sorts it. What holds a sig belongs to no group
+    groups = near.groupBy("key").agg(F.expr("min(CASE WHEN sig IS NULL THEN node END) AS first"), F.expr("count(CASE WHEN sig IS NULL THEN 1 END) AS size"))
+    near = near.join(groups.filter("size > 1").hint("shuffle_hash"), "key", "left").filter("sig IS NOT NULL OR size IS NOT NULL")
+    near = cut(near.select("key", "node", "first", "size", "sig"))
+    signs, near = near.filter("sig IS NOT NULL").select("node", "sig"), near.filter("sig IS NULL")
+    pairs = near.filter("node <> first").groupBy("node", "first").agg(F.expr("min(size) = 2 AS two"), F.expr("max(size) > 2 AS more"))
+    pairs = pairs.join(signs.hint("merge"), "node").join(signs.select(F.col("node").alias("first"), F.col("sig").alias("first_sig")).hint("merge"), "first")
+    return cut(pairs.filter(_may_link("sig", "first_sig")).select("node", "first", "two", "more")), cut(near.filter("size > 2").select("key", "node"))
 
 
 def _may_link(a: str, b: str) -> str:
@@ -224,8 +228,10 @@ def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
 def _parities(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, n, p0, p1, ...``: how many shingles each of the lines has, and for each of 64 * PARITIES bits whether an odd number
     of them falls on it. Two lines differ in no more bits than there are shingles that only one of them has."""
-    x = _lines_of(lines, nodes).selectExpr("node", f"explode(array_distinct({_hashes('line')})) AS x")
-    bits = [F.expr(f"bit_xor(CASE WHEN pmod(x, {PARITIES}) = {k} THEN shiftleft(1L, CAST(shiftrightunsigned(x, 58) AS INT)) ELSE 0L END) AS p{k}") for k in range(PARITIES)]
+    # the hashes are a column of their own, so that code is made for the explode; an outer one needs no look for empty lists first
+    x = _lines_of(lines, nodes).selectExpr("node", f"array_distinct({_hashes('line')}) AS h").selectExpr("node", "explode_outer(h) AS x")
+    x = x.selectExpr("node", f"CAST(pmod(x, {PARITIES}) AS INT) AS k", "shiftleft(1L, CAST(shiftrightunsigned(x, 58) AS INT)) AS bit")
+    bits = [F.expr(f"bit_xor(CASE WHEN k = {k} THEN bit ELSE 0L END) AS p{k}") for k in range(PARITIES)]
     return cut(x.groupBy("node").agg(F.count("*").cast("int").alias("n"), *bits))
 
 
@@ -278,23 +284,21 @@ def _release(df: DataFrame) -> None:
 
 def _labels(table: Table) -> DataFrame:
     """``node, label`` of the lines that have links: the label is the same in a component."""
-    groups = _groups(table.lines, run_length(table.size))
-    _release(groups)
+    first, entries = _groups(table.lines, run_length(table.size))
+    _release(first)
     # a line of larger groups is first paired with the least of their first lines alone; what that leaves apart is compared below
-    first = groups.filter("first IS NOT NULL")
-    two = first.filter("key IS NULL").select("node", "first")
-    star = two.unionByName(first.filter("key IS NOT NULL").groupBy("node").agg(F.min("first").alias("first")))
+    star = first.filter("two").select("node", "first").unionByName(first.filter("more").groupBy("node").agg(F.min("first").alias("first")))
     star = cut(_ordered(star.select(F.col("node").alias("a"), F.col("first").alias("b"))))
     labels = components(_linked(star, table.lines))
-    _release(groups)
-    e = _apart(groups.filter("key IS NOT NULL").select("key", "node"), labels)
+    _release(labels)
+    e = _apart(entries, labels)
     if e.isEmpty():
         return labels
     marks = _parities(table.lines, e.select("node").distinct())
-    _release(groups)
+    _release(marks)
     for pairs in (_met, _across):
         links = _linked(pairs(e, marks), table.lines)
-        _release(groups)
+        _release(marks)
         if not links.isEmpty():
             labels = _joined(labels, links)
         if pairs is _met:

@@ -530,3 +530,20 @@ def test_lines_equal_with_and_without_bitmaps(spark, sf, same, monkeypatch):
     same(lines.dedup(docs).collect(), expected)
     monkeypatch.setattr(lines, "BITMAP_BLOCKS", 0)
     same(lines.dedup(docs).collect(), expected)
+
+
+def test_bits_of_a_line_are_sent_once(spark):
+    """Of all rows of a line that go to groups one holds its bits; pairs find them again, and parities are those of its shingles."""
+    from pyspark.sql import functions as F
+
+    text = "the quick brown fox jumps over the lazy dog and runs"
+    df = spark.createDataFrame([(0, text), (1, text + "s"), (2, "nothing of the kind is in here"), (3, text + "!")], "node long, line string").coalesce(1)
+    keys = lines._keys(lines._smallest(df, 60).selectExpr("node", "m", "size(m) AS n", "node + 70 AS sig"), 4)
+    assert [(r["node"], r["n"]) for r in keys.filter("sig IS NOT NULL").groupBy("node").agg(F.count("*").alias("n")).orderBy("node").collect()] == [(k, 1) for k in range(4)]
+    pairs, entries = lines._groups(df, 4)
+    assert {(r["node"], r["first"]) for r in pairs.filter("more").collect()} == {(1, 0), (3, 0)}
+    assert {r["node"] for r in entries.collect()} == {0, 1, 3}
+    x = df.selectExpr("node", f"explode(array_distinct({lines._hashes('line')})) AS x")
+    bits = [F.expr(f"bit_xor(CASE WHEN pmod(x, {lines.PARITIES}) = {k} THEN shiftleft(1L, CAST(shiftrightunsigned(x, 58) AS INT)) ELSE 0L END)") for k in range(lines.PARITIES)]
+    expected = x.groupBy("node").agg(F.count("*"), *bits).orderBy("node").collect()
+    assert [tuple(r) for r in lines._parities(df, df.select("node")).orderBy("node").collect()] == [tuple(r) for r in expected]
