@@ -23,10 +23,19 @@ def java_hash(word: Column) -> Column:
         high, low = F.shiftright(c - 0x10000, 10) + 0xD800, (c - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
         return F.when(c > 0xFFFF, (a * 31 + high) * 31 + low).otherwise(a * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF))
 
-    h = F.aggregate(codes, F.lit(0).cast("long"), add)
+    return _signed(F.aggregate(codes, F.lit(0).cast("long"), add))
+
+
+def _signed(h: Column) -> Column:
     return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
 
 
+def code_point_hash(word: Column) -> Column:
+    """As ``java_hash`` over code points: another number for words with characters beyond the basic plane."""
+    codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return _signed(F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
 def random_seed(h: Column) -> Column:
     """State of java.util.Random after its seed is set."""
     return h.bitwiseXOR(F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK48))

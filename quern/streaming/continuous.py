@@ -111,8 +111,8 @@ def word_count(stream: DataFrame, *cols: str) -> DataFrame:
     return wordcount.word_count(stream, *cols)
 
 
-def count_min(stream: DataFrame, w: int, d: int, *cols: str) -> DataFrame:
-    return countmin.cells_stream(stream, w, d, *cols)
+def count_min(stream: DataFrame, w: int, d: int, *cols: str, single: bool = False) -> DataFrame:
+    return countmin.cells_stream(stream, w, d, *cols, single=single)
 
 
 def k_means_sums(stream: DataFrame, centroids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Increments:
