@@ -161,7 +161,7 @@ def _count_min(df: DataFrame, conf: dict) -> DataFrame:
 
 
 def _k_means(df: DataFrame, conf: dict) -> DataFrame:
-    vectors = wordcount.histogram(df, conf.get("id", "doc_id"), conf.get("column", "text"))
+    vectors = kmeans.Bags(df, conf.get("id", "doc_id"), conf.get("column", "text"))
     assigned, _ = kmeans.fit(vectors, conf.get("k", 2), conf.get("iterations", 1), conf.get("id", "doc_id"))
     return assigned
 

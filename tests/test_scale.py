@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from quern import catalogue
+from quern.operators import kmeans, wordcount
 
 
 @pytest.fixture
@@ -24,3 +25,30 @@ def test_sketches_of_words_that_java_draws_again(equals_sql, name):
     # the first, second and fourth draw below 7 is one of the two that Java repeats; two units of UTF-16
     for words in ("CFN[OAU", "A]^]U\\P", "DK\\ZN[[", "a\U0001f600b"):
         equals_sql(name, [(1, words), (2, "a b a")])
+
+
+DOCS = [(i, " ".join(f"w{(i * 7 + j * j) % (10 + i)}" for j in range(i % 9 + 1)) + ("\nlast" if i % 4 else " ")) for i in range(2, 60)] + [(60, None), (61, " \n "), (62, "alone")]
+
+
+@pytest.mark.parametrize("held, wide", [(300_000, 16), (3, 16), (0, 2)])
+@pytest.mark.parametrize("name", ["kmeans_assign", "kmeans_two_rounds", "kmeans_update", "kmeans_members", "stream_kmeans"])
+def test_kmeans_where_few_words_are_held(equals_sql, monkeypatch, name, held, wide):
+    monkeypatch.setattr(kmeans, "HELD", held, raising=False)
+    monkeypatch.setattr(kmeans, "WIDE", wide, raising=False)
+    equals_sql(name, DOCS)
+
+
+def shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line]
+
+
+def test_kmeans_shuffles_no_row_for_each_word(spark):
+    docs = spark.createDataFrame([(1, "a a b"), (2, "c d"), (3, "a")], "doc_id long, text string")
+    v = kmeans.Bags(docs, "doc_id", "text")
+    seeds = kmeans.seeds(v, 2)
+    assigned = kmeans.assign(v, seeds)
+    moved = [line for line in shuffles(assigned) if "hashpartitioning" in line]
+    assert moved and not any("word" in line for line in moved)
+    counted = kmeans.assign(wordcount.histogram(docs, "doc_id", "text"), seeds)
+    assert sorted(map(tuple, assigned.collect())) == sorted(map(tuple, counted.collect()))
