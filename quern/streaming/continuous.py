@@ -118,13 +118,13 @@ def count_min(stream: DataFrame, w: int, d: int, *cols: str, single: bool = Fals
 def k_means_sums(stream: DataFrame, centroids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Increments:
     """``cluster, word, total``: running sums of words, and rows with a null word for the number of documents.
 
-    Each micro-batch is assigned as a table is, by a join of its words with those of the centroids.
+    Each micro-batch is assigned as a table is.
     """
 
     def step(df: DataFrame) -> DataFrame:
-        vectors = cut(wordcount.histogram(df, id_col, text_col)) if df.take(1) else wordcount.histogram(df, id_col, text_col)
-        of = kmeans.assign(vectors, centroids, id_col).select(id_col, "cluster")
-        sums = vectors.join(of, id_col).groupBy("cluster", "word").agg(F.sum("n").alias("total"))
+        vectors = kmeans.Bags(df, id_col, text_col)
+        of = cut(kmeans.assign(vectors, centroids, id_col).select(id_col, "cluster"))
+        sums = kmeans.totals(vectors, of, id_col)
         return sums.unionByName(of.groupBy("cluster").agg(F.count("*").alias("total")).select("cluster", F.lit(None).cast("string").alias("word"), "total"))
 
     return Increments(stream, step, lambda parts: parts.groupBy("cluster", "word").agg(F.sum("total").alias("total")))
