@@ -2,8 +2,8 @@
 
 A job's mapper is a generator over (key, value row) and emits (key, value); reducers are generators over (key,
 iterator of values) and emit (key, value). Keys are text; values are JSON-like. A combiner runs inside each map
-task, a local reducer once for each site and key, the reducer once for each key. Built-in jobs are plain DataFrame
-functions chosen by name; a known name always wins over user functions.
+task, also over what it has emitted itself, a local reducer once for each site and key, the reducer once for each
+key. Built-in jobs are plain DataFrame functions chosen by name; a known name always wins over user functions.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from enum import Enum
-from itertools import groupby
+from itertools import chain, groupby, islice
+from operator import itemgetter
 from typing import Any
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,9 @@ from quern.session import checkpoint_dir, ship
 
 Emit = Iterator[tuple[str, Any]]
 BUFFER = 100_000  # values that a map task holds before it combines
+FEW = 4  # values of a key that are left apart until they go out
+HELD = 800_000  # values that it keeps to combine with later ones
+HELD_BYTES = 32_000_000  # and their size as JSON, by some of them
 
 
 class State(Enum):
@@ -65,11 +70,6 @@ def configuration(path: str) -> dict[str, str]:
     return out
 
 
-def _emit(pairs: Emit) -> Iterator[tuple[str, str]]:
-    for k, v in pairs:
-        yield str(k), json.dumps(v)
-
-
 def map_stage(df: DataFrame, job: Job) -> DataFrame:
     """``site, key, value`` (JSON) of all emitted pairs, combined within tasks where there is a combiner."""
     ship(df.sparkSession)
@@ -79,17 +79,42 @@ def map_stage(df: DataFrame, job: Job) -> DataFrame:
     site = F.col(job.site).cast("string") if job.site else F.lit("")
     src = df.select(site.alias("site"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, str], list] = defaultdict(list)
-        size = 0
-
-        def flush() -> pd.DataFrame:
-            out = [(s, k2, json.dumps(v2)) for (s, k), vs in held.items() for k2, v2 in (combiner(k, iter(vs)) if combiner else ((k, v) for v in vs))]
-            held.clear()
-            return pd.DataFrame(out, columns=["site", "key", "value"])
-
-        for frame in frames:
-            for s, k, row in zip(frame["site"], frame["key"], frame["row"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, list]] = {}  # values by site and key
+        size, limit = 0, BUFFER  # values held, and how many may be before they are combined
+
+        def combine() -> int:
+            """Combine the keys that have more than a few values; returns how many values are held then."""
+            left = 0
+            for of in held.values():
+                again = [p for k in [k for k, vs in of.items() if len(vs) > FEW] for p in combiner(k, iter(of.pop(k)))]
+                left += sum(map(len, of.values())) + len(again)
+                for k, v in again:
+                    of[k if type(k) is str else str(k)].append(v)
+            return left
+
+        def large(left: int) -> bool:
+            """Whether what is held goes out, by number or by the size of some of it."""
+            some = list(islice(((k, v) for of in held.values() for k, vs in of.items() for v in vs), 100))
+            return left >= HELD or left * sum(len(k) + len(_dump(v)) for k, v in some) >= HELD_BYTES * len(some)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            sites, keys, values = [], [], []
+            for s, of in held.items():
+                while of:
+                    k, vs = of.popitem()
+                    for k2, v2 in combiner(k, iter(vs)) if combiner else ((k, v) for v in vs):
+                        sites.append(s)
+                        keys.append(str(k2))
+                        values.append(_dump(v2))
+                    if len(keys) >= 10_000:
+                        yield _batch(("site", "key", "value"), (sites, keys, values))
+                        sites, keys, values = [], [], []
+            if keys:
+                yield _batch(("site", "key", "value"), (sites, keys, values))
+
+        for batch in batches:
+            for s, k, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     pairs = list(mapper(k, json.loads(row)))
                 except Exception:
@@ -97,36 +122,65 @@ def map_stage(df: DataFrame, job: Job) -> DataFrame:
                         raise
                     errors.add(1)
                     continue
+                of = held.get(s)
+                if of is None:
+                    of = held[s] = defaultdict(list)
                 for k2, v2 in pairs:
-                    held[s, str(k2)].append(v2)
-                    size += 1
-                if size >= BUFFER:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
+                    of[k2 if type(k2) is str else str(k2)].append(v2)
+                size += len(pairs)
+                if size >= limit:
+                    size = combine() if combiner else size
+                    if not combiner or large(size):
+                        yield from flush()
+                        size = 0
+                    limit = size + max(BUFFER, min(size, HELD // 2))
+        yield from flush()
+
+    return src.mapInArrow(run, "site string, key string, value string")
+
 
-    return src.mapInPandas(run, "site string, key string, value string")
+def _dump(v: Any) -> str:
+    return str(v) if type(v) is int else json.dumps(v)
+
+
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[tuple, list]]:
+    """``keys, values`` of each run of rows with the same keys; values are the last column."""
+    n, *keys, values = b.num_rows, *b.columns
+    try:
+        values = values.cast(pa.int64()).to_pylist()  # JSON texts that are all whole numbers
+    except pa.ArrowInvalid:
+        values = list(map(json.loads, values.to_pylist()))
+    new = np.arange(n) == 0
+    for c in keys:
+        for x in (c.is_null(), c.fill_null("")):
+            new[1:] |= pc.not_equal(x.slice(1), x.slice(0, max(0, n - 1))).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(new)
+    heads = zip(*(c.take(pa.array(at)).to_pylist() for c in keys), strict=True)
+    for head, a, z in zip(heads, at.tolist(), [*at[1:].tolist(), n], strict=True):
+        yield head, values[a:z]
+
+
+def _batch(names: tuple[str, ...], columns: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], list(names))
 
 
 def _reduce(pairs: DataFrame, reducer: Callable, by: list[str]) -> DataFrame:
     """Run a reducer over each key. Rows of a key come sorted together and are streamed to it, so no group is held in memory."""
 
+    names = (*by[:-1], "key", "value")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         out: list[tuple] = []
-        for keys, group in groupby(rows, key=lambda r: r[:-1]):
-            out += ((*keys[:-1], k, v) for k, v in _emit(reducer(keys[-1], (json.loads(r[-1]) for r in group))))
+        for keys, parts in groupby((r for b in batches for r in _runs(b)), key=itemgetter(0)):
+            for k, v in reducer(keys[-1], chain.from_iterable(map(itemgetter(1), parts))):
+                out.append((*keys[:-1], str(k), _dump(v)))
             if len(out) >= 10_000:
-                yield _rows(out)
+                yield _batch(names, tuple(zip(*out)))
                 out = []
-        yield _rows(out)
-
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        names = [*by[:-1], "key", "value"]
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.string()) for j in range(len(names))], names)
+        if out:
+            yield _batch(names, tuple(zip(*out)))
 
-    schema = ", ".join(f"{c} string" for c in [*by[:-1], "key", "value"])
+    schema = ", ".join(f"{c} string" for c in names)
     return pairs.select(*by, "value").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 

@@ -1,10 +1,18 @@
 """Queries on small tables of their own, against their SQL."""
 
+import json
+import sys
+
 import duckdb
 import pytest
+from pyspark import cloudpickle
 
 from quern import catalogue
 from quern.operators import kmeans, wordcount
+from quern.plans import job
+from quern.plans.job import Job
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import the tests
 
 
 @pytest.fixture
@@ -52,3 +60,33 @@ def test_kmeans_shuffles_no_row_for_each_word(spark):
     assert moved and not any("word" in line for line in moved)
     counted = kmeans.assign(wordcount.histogram(docs, "doc_id", "text"), seeds)
     assert sorted(map(tuple, assigned.collect())) == sorted(map(tuple, counted.collect()))
+
+
+def test_combiners_meet_values_again(spark, monkeypatch):
+    monkeypatch.setattr(job, "BUFFER", 10)
+    docs = spark.createDataFrame([(i, "a b c d") for i in range(100)], "key int, text string").coalesce(1)
+    mine = Job("w", [], "o", mapper=words, combiner=add, reducer=add)
+    pairs = job.map_stage(docs, mine)
+    assert sorted(tuple(r)[1:] for r in pairs.collect()) == [(w, "100") for w in "abcd"]
+    # what is kept is bounded by number and by size
+    for name, most in (("HELD", 1), ("HELD_BYTES", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(job, name, most)
+            pairs = job.map_stage(docs, mine).collect()
+            assert len(pairs) > 4 and sum(int(r["value"]) for r in pairs) == 400
+
+
+def words(key, row):
+    for w in row["text"].split(" "):
+        yield w, 1
+
+
+def add(key, values):
+    yield key, sum(values)
+
+
+def test_values_of_all_kinds_survive(spark):
+    kinds = [0, 7, -7, 10**20, 1.5, True, None, "5", "x", [1, "2"], {"a": 1}]
+    each = Job("w", [], "o", mapper=lambda k, row: ((i, v) for i, v in enumerate(kinds)), reducer=lambda k, vs: ((k, [v, type(v).__name__]) for v in vs))
+    got = {r["key"]: json.loads(r["value"]) for r in job.run_generic(spark.range(1).withColumnRenamed("id", "key"), each).collect()}
+    assert got == {str(i): [v, type(v).__name__] for i, v in enumerate(kinds)}
