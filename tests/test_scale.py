@@ -90,3 +90,10 @@ def test_values_of_all_kinds_survive(spark):
     each = Job("w", [], "o", mapper=lambda k, row: ((i, v) for i, v in enumerate(kinds)), reducer=lambda k, vs: ((k, [v, type(v).__name__]) for v in vs))
     got = {r["key"]: json.loads(r["value"]) for r in job.run_generic(spark.range(1).withColumnRenamed("id", "key"), each).collect()}
     assert got == {str(i): [v, type(v).__name__] for i, v in enumerate(kinds)}
+
+
+@pytest.mark.parametrize("name", ["doc_histogram", "word_histograms"])
+def test_histograms_shuffle_texts_once(spark, sf, equals_sql, name):
+    moved = shuffles(catalogue.queries()[name](spark, sf))
+    assert len(moved) == 1 and "word" not in moved[0]
+    equals_sql(name, [*DOCS, (3, "w1 again"), (3, "w1\nw2")])
